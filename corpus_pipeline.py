@@ -1,10 +1,65 @@
-"""The corpus pipeline: toxicity, exact dedup, near-dedup, mixing, packing."""
+"""The corpus pipeline: toxicity, exact dedup, near-dedup, mixing to target weights, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
+read again as the next stage's docs. All but the last keep the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.llm.common import documents, labels, shared_folder
+from graphloom.llm.exact_dedup import exact_dedup
+from graphloom.llm.mixing import mix, mixed_documents
+from graphloom.llm.near_dedup import near_dedup
+from graphloom.llm.packing import pack
+from graphloom.llm.toxicity import fit_toxicity, score_toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.7 or more go."""
+    net = fit_toxicity(docs, labels(spark, sf_dir))
+    return score_toxicity(docs, net, "_toxicity").filter("_toxicity < 0.7").drop("_toxicity")
+
+
+def _only(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """The rows that stay, one for each doc_id."""
+    ids = judged.filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _only(docs, exact_dedup(docs))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _only(docs, near_dedup(docs))
+
+
+def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixed_documents(docs, mix(docs))
+
+
+def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("near-dedup", drop_near_copies), ("mixing", mix_to_weights), ("packing", pack_batches)]
+
+#: The trained network and the near-dedup signatures have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        out.write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs

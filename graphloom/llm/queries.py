@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, whole_text
+from .common import documents, labels, whole_text
 from .exact_dedup import exact_dedup
+from .lm_scoring import lm_scores
 from .media import media_features, to_media
 from .mixing import mix, taken_words
+from .near_dedup import near_dedup
 from .packing import pack
+from .quality import score_quality
 from .secrets import scan_secrets, span_list
 from .sharding import external_shuffle
+from .toxicity import toxicity
 
 
 def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +38,22 @@ def op4_media_png(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(to_media(documents(spark, sf_dir)))
 
 
+def op5_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(documents(spark, sf_dir))
+
+
+def op7_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op8_lm_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(documents(spark, sf_dir))
+
+
 def op9_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = external_shuffle(documents(spark, sf_dir))
     return out.select("doc_id", "size", F.crc32(whole_text().cast("binary")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -44,7 +64,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_ownership, op2_mix_sources, op3_pack_buckets, op4_media_png, op9_external_shuffle, op10_exact_dedup)}
+    own = (op1_secret_ownership, op2_mix_sources, op3_pack_buckets, op4_media_png, op5_toxicity_gru, op6_near_dedup, op7_quality_discriminant, op8_lm_backoff, op9_external_shuffle, op10_exact_dedup)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
