@@ -59,6 +59,20 @@ def exploded(texts: list[bytes], order: int) -> tuple[np.ndarray, list[np.ndarra
     return doc, grams, ~first
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Integers byte plane by byte plane: the zeros of small numbers lie together and compress."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _numbers(x: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([x[:1], np.diff(x)])
+
+
 def _buckets(sorted_grams: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket begins in the sorted n-grams; buckets are equal ranges of hashes."""
     edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
@@ -74,8 +88,8 @@ def _packer(order: int, buckets: int):
         some = [b for b in range(buckets) if at[b] < at[b + 1]]
         return pa.table({
             "bucket": pa.array(some, pa.int32()), "blk": pa.array([key[0].as_py()] * len(some), pa.int32()),
-            "grams": pa.array([own[at[b] : at[b + 1]].tobytes() for b in some], pa.binary()),
-            "n": pa.array([n[at[b] : at[b + 1]].astype(np.uint32).tobytes() for b in some], pa.binary()),
+            "grams": pa.array([_planes(_steps(own[at[b] : at[b + 1]])) for b in some], pa.binary()),
+            "n": pa.array([_planes(n[at[b] : at[b + 1]].astype(np.uint32)) for b in some], pa.binary()),
         })
 
     return pack
@@ -83,12 +97,12 @@ def _packer(order: int, buckets: int):
 
 def _total(key: tuple, table: pa.Table) -> pa.Table:
     """Sums the counts of a bucket and gives each block the totals of its n-grams, in its order."""
-    grams = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("n").to_pylist()])
+    grams = [np.cumsum(_numbers(x, np.uint64), dtype=np.uint64) for x in table.column("grams").to_pylist()]
+    counts = np.concatenate([_numbers(x, np.uint32) for x in table.column("n").to_pylist()])
     _, at = np.unique(np.concatenate(grams), return_inverse=True)
     sums = np.bincount(at, counts).astype(np.int64)[at]
     ends = np.cumsum([len(g) for g in grams])
-    parts = [s.tobytes() for s in np.split(sums, ends[:-1])]
+    parts = [_planes(s) for s in np.split(sums, ends[:-1])]
     return pa.table({"blk": table.column("blk"), "bucket": table.column("bucket"), "totals": pa.array(parts, pa.binary())})
 
 
@@ -99,7 +113,7 @@ def _scorer(order: int, alpha: float, corpus: int):
         flat = np.concatenate(grams)
         own, at = np.unique(flat, return_inverse=True)
         rows = sorted(zip(totals.column("bucket").to_pylist(), totals.column("totals").to_pylist(), strict=True))
-        found = np.frombuffer(b"".join(x for _, x in rows), np.int64)
+        found = np.concatenate([np.zeros(0, np.int64), *(_numbers(x, np.int64) for _, x in rows)])
         if len(own) and own[0] == 0:
             found = np.concatenate([[0], found])
         if len(found) != len(own):
