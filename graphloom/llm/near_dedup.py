@@ -130,9 +130,9 @@ def _signer(words: int, bands: int, rows: int):
                 key = np.arange(1, bands + 1, dtype=np.uint64)[None, :] * _GOLD
                 for r in range(rows):
                     key = _mix(key + lanes[:, :, r])
-                keys = iter(key.view(np.int64))
+                keys, bytes_ = iter(key.view(np.int64)), iter((lanes.reshape(len(some), -1) & np.uint64(255)).astype(np.uint8))
                 mark = [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([ids.slice(i, k - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(mark, pa.binary()), pa.array([next(keys) if len(s) else [] for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "mark", "bands"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, k - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(mark, pa.binary()), pa.array([next(keys) if len(s) else [] for s in sets], pa.list_(pa.int64())), pa.array([next(bytes_).tobytes() if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n_shingles", "mark", "bands", "lanes"])
 
     return sign
 
@@ -148,34 +148,74 @@ def _setter(words: int):
     return make
 
 
-def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = texts.mapInArrow(_setter(words), "doc_id long, shingles array<long>")
-    first = pairs.join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("sv")), "v")
-    both = first.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("su")), "u")
-    same = F.size(F.array_intersect("su", "sv"))
-    return both.filter(100 * same >= percent * (F.size("su") + F.size("sv") - same)).select("u", "v")
+def _likely(least: int):
+    """Keeps the pairs whose signatures agree in ``least`` lanes or more."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (2, 3))
+            good = pa.array((x == y).sum(1) >= least)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good)], names=["u", "v"])
+
+    return keep
+
+
+#: Ids up to this number (8 bytes each) may be broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+class Verifier:
+    """Confirms pairs of nodes on their full sets."""
+
+    def __init__(self, nodes: DataFrame, lanes: DataFrame, docs: DataFrame, words: int, percent: int, slots: int):
+        few = nodes.count() <= BROADCAST_IDS
+        ids = nodes.select(F.col("node").alias("doc_id"))
+        texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+        self.sets = cut(texts.mapInArrow(_setter(words), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]))
+        self.lanes, self.percent = lanes, percent
+        # five and a half standard deviations below the threshold: a linked pair falls out once in 10**7
+        p = percent / 100
+        self.least = int(slots * p - 5.5 * (slots * p * (1 - p)) ** 0.5)
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) with 100 * intersection >= percent * union. Unlikely ones leave by signature first."""
+        lanes = self.lanes
+        marked = pairs.join(lanes.select(F.col("node").alias("u"), F.col("lanes").alias("lu")), "u").join(lanes.select(F.col("node").alias("v"), F.col("lanes").alias("lv")), "v")
+        likely = cut(marked.select("u", "v", "lu", "lv").mapInArrow(_likely(self.least), "u long, v long"))
+        first = likely.join(self.sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("sv")), "v")
+        both = first.join(self.sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("su")), "u")
+        same = F.size(F.array_intersect("su", "sv"))
+        return cut(both.filter(100 * same >= self.percent * (F.size("su") + F.size("sv") - same)).select("u", "v"))
+
+
+def _between(apart: DataFrame, tried: DataFrame, seed: int) -> DataFrame:
+    """For each bucket, its leader by a seeded order with one node of each other component of the bucket."""
+    order = F.struct(F.xxhash64(F.lit(seed), "node").alias("h"), F.col("node").alias("node"))
+    one = apart.groupBy("key", "component").agg(F.min(order).alias("o"))
+    lead = one.groupBy("key").agg(F.min(F.struct(F.col("o"), F.col("component").alias("c"))).alias("l"))
+    both = one.join(lead, "key").filter(F.col("component") != F.col("l.c"))
+    pairs = both.select(F.least("o.node", "l.o.node").alias("u"), F.greatest("o.node", "l.o.node").alias("v")).distinct()
+    return cut(pairs.join(tried, ["u", "v"], "left_anti"))
 
 
-def near_dedup(docs: DataFrame, words: int = 4, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
+def near_dedup(docs: DataFrame, words: int = 4, percent: int = 80, bands: int = 32, rows: int = 4, rounds: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
     A document's set holds the distinct ``words``-word shingles of its lower-cased (A-Z) text.
     Documents with a similarity of ``percent`` or more are linked. Signatures of bands * rows
     slots are cut into bands; a pair at 0.8 shares no band with probability 5e-8 at 32 x 4.
-    Equal sets are one node from the start. Within a bucket, each node is first compared with
-    the bucket's smallest one; the components found, only nodes of the same bucket that are
-    still apart are compared with each other. So a large group of copies costs a comparison for
-    each member, while no shared bucket goes unexamined.
+    Equal sets are one node from the start. Each node is first compared with the leader it
+    shares most buckets with. Then, for ``rounds`` rounds, each bucket that holds several
+    components compares one node of each with another leader. At last, nodes of the same bucket
+    that are still apart are all compared. So a large group of copies costs a few comparisons
+    for each member, while no shared bucket goes unexamined.
 
     An empty or null text has no shingles, is linked with nothing and keeps itself. Rows of the
     same doc_id are one node (of their sets, the smallest by hash stands for it).
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().cast("binary").alias("text"))
-    signed = cut(src.mapInArrow(_signer(words, bands, rows), "doc_id long, n_shingles long, mark binary, bands array<long>"))
-    some = signed.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", F.hex("mark").alias("mark"), "bands")
+    signed = cut(src.mapInArrow(_signer(words, bands, rows), "doc_id long, n_shingles long, mark binary, bands array<long>, lanes binary"))
+    some = signed.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", F.hex("mark").alias("mark"), "bands", "lanes")
     classes = cut(some.groupBy("mark").agg(F.min("doc_id").alias("node"), F.count("*").alias("members")))
     total = classes.agg(F.sum("members")).first()[0] or 0
     joined = join_sized(some.select("doc_id", "mark", "n_shingles"), classes, "mark", "members", total, F.xxhash64("doc_id"))
@@ -185,20 +225,38 @@ def near_dedup(docs: DataFrame, words: int = 4, percent: int = 80, bands: int =
     exploded = nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     buckets = exploded.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("inside")).filter("inside > 1")
     shared = cut(join_sized(exploded.select("key", "node", "n"), cut(buckets), "key", "inside", total * bands, F.col("node")).filter("least is not null"))
-    pairs = cut(shared.filter("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct())
-    links = cut(verify(pairs, src, words, percent))
+    lanes = cut(nodes.select(F.col("doc_id").alias("node"), "lanes").join(shared.select("node").distinct(), "node", "left_semi"))
+    verify = Verifier(lanes.select("node"), lanes, src, words, percent, bands * rows)
+    common = shared.filter("node <> least").groupBy(F.col("least").alias("u"), F.col("node").alias("v")).agg(F.count("*").alias("n"))
+    best = common.groupBy("v").agg(F.max(F.struct(F.col("n"), (-F.col("u")).alias("u"))).alias("b"))
+    tried = cut(best.select((-F.col("b.u")).alias("u"), "v"))
+    links = verify(tried)
     found = components(links)
 
-    apart = shared.join(found.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = apart.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    open_ = cut(apart.join(mixed, "key", "left_semi").select("key", "node", "n", "component"))
+    def still_apart() -> DataFrame:
+        now = shared.select("key", "node", "n").join(found.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+        return cut(now.join(mixed, "key", "left_semi").select("key", "node", "n", "component"))
+
+    def joined_up(more: DataFrame) -> DataFrame:
+        return components(more.unionByName(found.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))))
+
+    for k in range(rounds):
+        more = _between(still_apart(), tried, k)
+        if more.isEmpty():
+            continue
+        new = verify(more)
+        if not new.isEmpty():
+            found = joined_up(new)
+        tried = tried.unionByName(more)
+    open_ = still_apart()
     a = open_.select("key", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"))
     b = open_.select("key", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
     near = (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")) & (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv"))
-    more = cut(a.join(b, "key").filter(near).select("u", "v").distinct().join(pairs, ["u", "v"], "left_anti"))
-    if not more.isEmpty():
-        links = links.unionByName(cut(verify(more, src, words, percent)))
-        found = components(links.unionByName(found.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))))
+    more = a.join(b, "key").filter(near).select("u", "v").distinct().join(tried, ["u", "v"], "left_anti")
+    new = verify(more)
+    if not new.isEmpty():
+        found = joined_up(new)
 
     # a doc_id with several sets ties its classes together, which is no link of texts
     final = member.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
