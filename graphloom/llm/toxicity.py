@@ -24,6 +24,7 @@ WINDOW, STRIDE = 64, 48
 PIECE = 24  # bytes of a token; longer words are several tokens
 GRAMS = (3, 6)
 WORD_BITS, GRAM_BITS = 17, 18
+STEPS = 90  # weight updates that a small sample gets by further epochs
 LEAST = 5  # training texts with a slot, else it stays 0 and is not trained
 DW = DC = 6
 H = 8
@@ -285,6 +286,7 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 3, batch: int = 128, pe
         net.p[key][rows] -= rate * (m[rows] / (1 - 0.9**step)) / (np.sqrt(v[rows] / (1 - 0.99**step)) + 1e-6)
 
     scorer = Scorer(net)
+    epochs = max(epochs, min(30, -(-STEPS // max(1, len(choose(logit, doc, y, per_text, r)) // batch))))
     for epoch in range(epochs):
         if epoch:
             scorer._clear()
