@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, join_sized, whole_text
@@ -198,6 +198,40 @@ def _between(apart: DataFrame, tried: DataFrame, seed: int) -> DataFrame:
     return cut(pairs.join(tried, ["u", "v"], "left_anti"))
 
 
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of ``nodes`` (node, n, component) of different components that may be linked: none is missed.
+
+    A set's shingles are ordered by their frequency among the nodes, rarest first. When the first
+    shingle that two sets share has positions i and j, they share n - i + 1 and m - j + 1 at most,
+    so links meet in a short prefix. The smaller set of a pair is found by shingle and size class
+    (steps of 5 %); the larger one looks in the classes that its position still allows. Copies that
+    differ by more than the threshold have shingles of their own first, and so do not meet.
+    """
+    nodes = cut(nodes)
+    few = nodes.count() <= BROADCAST_IDS
+    ids = nodes.select(F.col("node").alias("doc_id"))
+    own = sets.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    tokens = own.select(F.col("doc_id").alias("node"), F.explode("shingles").alias("s"))
+    often = tokens.groupBy("s").agg(F.count("*").alias("f")).filter("f > 1")
+    each = Window.partitionBy("node")
+    ranked = tokens.join(often, "s").select("node", "s", F.row_number().over(each.orderBy("f", "s")).alias("k"), F.count("*").over(each).alias("m"))
+    placed = ranked.join(F.broadcast(nodes) if few else nodes, "node").withColumn("i", F.col("n") - F.col("m") + F.col("k"))
+    both = 100 + percent
+    rest = both * (F.col("n") - F.col("i") + 1)
+    low = F.ceil(F.lit(percent) * F.col("n") / 100)
+    prefix = placed.withColumn("most", F.least("n", F.floor((rest - percent * F.col("n")) / percent))).withColumn("low", low).filter("most >= low")
+    prefix = cut(prefix.select("s", "node", "n", "component", "i", "low", "most", (rest >= 2 * percent * F.col("n")).alias("first")))
+    mixed = prefix.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("s")
+    prefix = cut(prefix.join(mixed, "s", "left_semi"))
+    size_class = lambda n: F.floor(F.log(n) / F.log(F.lit(1.05)))
+    x = prefix.filter("first").select("s", size_class(F.col("n")).alias("c"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("i").alias("ix"), F.col("component").alias("cx"))
+    y = prefix.select("s", F.explode(F.sequence(size_class(F.col("low")), size_class(F.col("most")))).alias("c"), "node", "n", "component", "low", "most")
+    order = (F.col("nx") < F.col("n")) | ((F.col("nx") == F.col("n")) & (F.col("x") < F.col("node")))
+    fits = F.col("nx").between(F.col("low"), F.col("most")) & (both * (F.col("nx") - F.col("ix") + 1) >= percent * (F.col("nx") + F.col("n")))
+    met = x.join(y, ["s", "c"]).filter(order & fits & (F.col("cx") != F.col("component")))
+    return met.select(F.least("x", "node").alias("u"), F.greatest("x", "node").alias("v")).distinct()
+
+
 def near_dedup(docs: DataFrame, words: int = 4, percent: int = 80, bands: int = 32, rows: int = 4, rounds: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
@@ -206,9 +240,10 @@ def near_dedup(docs: DataFrame, words: int = 4, percent: int = 80, bands: int =
     slots are cut into bands; a pair at 0.8 shares no band with probability 5e-8 at 32 x 4.
     Equal sets are one node from the start. Each node is first compared with the leader it
     shares most buckets with. Then, for ``rounds`` rounds, each bucket that holds several
-    components compares one node of each with another leader. At last, nodes of the same bucket
-    that are still apart are all compared. So a large group of copies costs a few comparisons
-    for each member, while no shared bucket goes unexamined.
+    components compares one node of each with another leader. At last, the nodes of buckets that
+    still hold several components are searched by shingle prefixes (``prefix_pairs``), which find
+    every link between them. So a large group of copies costs a few comparisons for each member,
+    while no shared bucket goes unexamined.
 
     An empty or null text has no shingles, is linked with nothing and keeps itself. Rows of the
     same doc_id are one node (of their sets, the smallest by hash stands for it).
@@ -250,10 +285,7 @@ def near_dedup(docs: DataFrame, words: int = 4, percent: int = 80, bands: int =
             found = joined_up(new)
         tried = tried.unionByName(more)
     open_ = still_apart()
-    a = open_.select("key", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"))
-    b = open_.select("key", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
-    near = (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")) & (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv"))
-    more = a.join(b, "key").filter(near).select("u", "v").distinct().join(tried, ["u", "v"], "left_anti")
+    more = cut(prefix_pairs(open_.select("node", "n", "component").distinct(), verify.sets, percent).join(tried, ["u", "v"], "left_anti"))
     new = verify(more)
     if not new.isEmpty():
         found = joined_up(new)

@@ -16,7 +16,7 @@ from graphloom.llm.exact_dedup import build_directory, exact_dedup
 from graphloom.llm.lm_scoring import lm_scores
 from graphloom.llm.media import decode_png, encode_png, media_features, pad, to_media, unfilter
 from graphloom.llm.mixing import mix, mixed_documents, taken_words, targets
-from graphloom.llm.near_dedup import near_dedup, superminhash
+from graphloom.llm.near_dedup import near_dedup, prefix_pairs, superminhash
 from graphloom.llm.packing import boundaries, pack
 from graphloom.llm.quality import score_quality
 from graphloom.llm.secrets import scan_secrets
@@ -231,3 +231,16 @@ def test_pipeline(spark):
 
     out = corpus_pipeline.run(spark, SF).collect()
     assert out and {"doc_id", "bucket", "batch", "place"} <= set(out[0].asDict())
+
+
+def test_prefix_pairs_miss_no_link(spark):
+    rng = np.random.default_rng(3)
+    base = [rng.integers(0, 400, 60) for _ in range(4)]
+    sets = {k: sorted({int(x) if rng.random() > 0.08 else int(rng.integers(1000, 3000)) for x in base[k % 4][: int(rng.integers(40, 61))]}) for k in range(120)}
+    part = {k: k % 7 for k in sets}
+    nodes = spark.createDataFrame([(k, len(v), part[k]) for k, v in sets.items()], "node long, n long, component long")
+    frame = spark.createDataFrame([*sets.items()], "doc_id long, shingles array<long>")
+    got = {(r.u, r.v) for r in prefix_pairs(nodes, frame, 80).collect()}
+    links = {(a, b) for a, b in itertools.combinations(sets, 2) if part[a] != part[b] and 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]})}
+    assert len(links) > 20 and links <= got and all(a < b and part[a] != part[b] for a, b in got)
+    assert prefix_pairs(nodes.limit(0), frame, 80).count() == 0
