@@ -34,6 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """A checkpoint read in tasks of about ``rows`` rows, so that small tables don't make many small shuffle files."""
+    done = cut(df)
+    return done.coalesce(max(1, -(-done.count() // rows)))
+
+
 def whole_text(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

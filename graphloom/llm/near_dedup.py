@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, join_sized, whole_text
+from .common import cut, gathered, join_sized, whole_text
 from .components import components
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -162,6 +162,8 @@ def _likely(least: int):
 
 #: Ids up to this number (8 bytes each) may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Rows that a task reads of checkpoints of short rows, and of rows with a signature.
+PAIRS, NODES = 200_000, 50_000
 
 
 class Verifier:
@@ -181,11 +183,11 @@ class Verifier:
         """The pairs (u, v) with 100 * intersection >= percent * union. Unlikely ones leave by signature first."""
         lanes = self.lanes
         marked = pairs.join(lanes.select(F.col("node").alias("u"), F.col("lanes").alias("lu")), "u").join(lanes.select(F.col("node").alias("v"), F.col("lanes").alias("lv")), "v")
-        likely = cut(marked.select("u", "v", "lu", "lv").mapInArrow(_likely(self.least), "u long, v long"))
+        likely = gathered(marked.select("u", "v", "lu", "lv").mapInArrow(_likely(self.least), "u long, v long"), PAIRS)
         first = likely.join(self.sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("sv")), "v")
         both = first.join(self.sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("su")), "u")
         same = F.size(F.array_intersect("su", "sv"))
-        return cut(both.filter(100 * same >= self.percent * (F.size("su") + F.size("sv") - same)).select("u", "v"))
+        return gathered(both.filter(100 * same >= self.percent * (F.size("su") + F.size("sv") - same)).select("u", "v"), PAIRS)
 
 
 def _between(apart: DataFrame, tried: DataFrame, seed: int) -> DataFrame:
@@ -195,7 +197,7 @@ def _between(apart: DataFrame, tried: DataFrame, seed: int) -> DataFrame:
     lead = one.groupBy("key").agg(F.min(F.struct(F.col("o"), F.col("component").alias("c"))).alias("l"))
     both = one.join(lead, "key").filter(F.col("component") != F.col("l.c"))
     pairs = both.select(F.least("o.node", "l.o.node").alias("u"), F.greatest("o.node", "l.o.node").alias("v")).distinct()
-    return cut(pairs.join(tried, ["u", "v"], "left_anti"))
+    return gathered(pairs.join(tried, ["u", "v"], "left_anti"), PAIRS)
 
 
 def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -207,7 +209,7 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     (steps of 5 %); the larger one looks in the classes that its position still allows. Copies that
     differ by more than the threshold have shingles of their own first, and so do not meet.
     """
-    nodes = cut(nodes)
+    nodes = gathered(nodes, NODES)
     few = nodes.count() <= BROADCAST_IDS
     ids = nodes.select(F.col("node").alias("doc_id"))
     own = sets.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
@@ -220,9 +222,9 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rest = both * (F.col("n") - F.col("i") + 1)
     low = F.ceil(F.lit(percent) * F.col("n") / 100)
     prefix = placed.withColumn("most", F.least("n", F.floor((rest - percent * F.col("n")) / percent))).withColumn("low", low).filter("most >= low")
-    prefix = cut(prefix.select("s", "node", "n", "component", "i", "low", "most", (rest >= 2 * percent * F.col("n")).alias("first")))
+    prefix = gathered(prefix.select("s", "node", "n", "component", "i", "low", "most", (rest >= 2 * percent * F.col("n")).alias("first")), PAIRS)
     mixed = prefix.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("s")
-    prefix = cut(prefix.join(mixed, "s", "left_semi"))
+    prefix = gathered(prefix.join(mixed, "s", "left_semi"), PAIRS)
     size_class = lambda n: F.floor(F.log(n) / F.log(F.lit(1.05)))
     x = prefix.filter("first").select("s", size_class(F.col("n")).alias("c"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("i").alias("ix"), F.col("component").alias("cx"))
     y = prefix.select("s", F.explode(F.sequence(size_class(F.col("low")), size_class(F.col("most")))).alias("c"), "node", "n", "component", "low", "most")
@@ -232,7 +234,7 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("x", "node").alias("u"), F.greatest("x", "node").alias("v")).distinct()
 
 
-def near_dedup(docs: DataFrame, words: int = 4, percent: int = 80, bands: int = 32, rows: int = 4, rounds: int = 3) -> DataFrame:
+def near_dedup(docs: DataFrame, words: int = 4, percent: int = 80, bands: int = 32, rows: int = 4, rounds: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
     A document's set holds the distinct ``words``-word shingles of its lower-cased (A-Z) text.
@@ -251,27 +253,27 @@ def near_dedup(docs: DataFrame, words: int = 4, percent: int = 80, bands: int =
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().cast("binary").alias("text"))
     signed = cut(src.mapInArrow(_signer(words, bands, rows), "doc_id long, n_shingles long, mark binary, bands array<long>, lanes binary"))
     some = signed.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", F.hex("mark").alias("mark"), "bands", "lanes")
-    classes = cut(some.groupBy("mark").agg(F.min("doc_id").alias("node"), F.count("*").alias("members")))
+    classes = gathered(some.groupBy("mark").agg(F.min("doc_id").alias("node"), F.count("*").alias("members")), NODES)
     total = classes.agg(F.sum("members")).first()[0] or 0
     joined = join_sized(some.select("doc_id", "mark", "n_shingles"), classes, "mark", "members", total, F.xxhash64("doc_id"))
-    member = cut(joined.groupBy("doc_id").agg(F.min("node").alias("node")))
+    member = gathered(joined.groupBy("doc_id").agg(F.min("node").alias("node")), NODES)
     nodes = some.join(classes.select("mark", F.col("node").alias("doc_id")), ["mark", "doc_id"], "left_semi").dropDuplicates(["mark"])
 
     exploded = nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     buckets = exploded.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("inside")).filter("inside > 1")
-    shared = cut(join_sized(exploded.select("key", "node", "n"), cut(buckets), "key", "inside", total * bands, F.col("node")).filter("least is not null"))
-    lanes = cut(nodes.select(F.col("doc_id").alias("node"), "lanes").join(shared.select("node").distinct(), "node", "left_semi"))
+    shared = gathered(join_sized(exploded.select("key", "node", "n"), gathered(buckets, PAIRS), "key", "inside", total * bands, F.col("node")).filter("least is not null"), PAIRS)
+    lanes = gathered(nodes.select(F.col("doc_id").alias("node"), "lanes").join(shared.select("node").distinct(), "node", "left_semi"), NODES)
     verify = Verifier(lanes.select("node"), lanes, src, words, percent, bands * rows)
     common = shared.filter("node <> least").groupBy(F.col("least").alias("u"), F.col("node").alias("v")).agg(F.count("*").alias("n"))
     best = common.groupBy("v").agg(F.max(F.struct(F.col("n"), (-F.col("u")).alias("u"))).alias("b"))
-    tried = cut(best.select((-F.col("b.u")).alias("u"), "v"))
+    tried = gathered(best.select((-F.col("b.u")).alias("u"), "v"), PAIRS)
     links = verify(tried)
     found = components(links)
 
     def still_apart() -> DataFrame:
         now = shared.select("key", "node", "n").join(found.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-        return cut(now.join(mixed, "key", "left_semi").select("key", "node", "n", "component"))
+        return gathered(now.join(mixed, "key", "left_semi").select("key", "node", "n", "component"), PAIRS)
 
     def joined_up(more: DataFrame) -> DataFrame:
         return components(more.unionByName(found.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))))
@@ -285,7 +287,7 @@ def near_dedup(docs: DataFrame, words: int = 4, percent: int = 80, bands: int =
             found = joined_up(new)
         tried = tried.unionByName(more)
     open_ = still_apart()
-    more = cut(prefix_pairs(open_.select("node", "n", "component").distinct(), verify.sets, percent).join(tried, ["u", "v"], "left_anti"))
+    more = gathered(prefix_pairs(open_.select("node", "n", "component").distinct(), verify.sets, percent).join(tried, ["u", "v"], "left_anti"), PAIRS)
     new = verify(more)
     if not new.isEmpty():
         found = joined_up(new)

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import queries as Q
+from graphloom.llm.components import components
 from graphloom.llm.exact_dedup import build_directory, exact_dedup
 from graphloom.llm.lm_scoring import lm_scores
 from graphloom.llm.media import decode_png, encode_png, media_features, pad, to_media, unfilter
@@ -244,3 +245,16 @@ def test_prefix_pairs_miss_no_link(spark):
     links = {(a, b) for a, b in itertools.combinations(sets, 2) if part[a] != part[b] and 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]})}
     assert len(links) > 20 and links <= got and all(a < b and part[a] != part[b] for a, b in got)
     assert prefix_pairs(nodes.limit(0), frame, 80).count() == 0
+
+
+def test_components_by_many_tasks(spark):
+    rng = np.random.default_rng(5)
+    links = [(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 200, (150, 2)) if a != b]
+    root = {x: x for uv in links for x in uv}
+    for a, b in links:
+        x, y = root[a], root[b]
+        root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
+    frame = spark.createDataFrame(links, "u long, v long").repartition(8)
+    for per_task in (10, 500_000):
+        got = components(frame, links_per_task=per_task).collect()
+        assert len(got) == len(root) and {r.node: r.component for r in got} == root
