@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, cut, running_offset, whole_text, word_count
@@ -120,28 +120,46 @@ def _words(text: Column, parts: str) -> Column:
     return F.array_join(F.flatten(F.transform(F.sort_array(F.col(parts)), lambda p: F.slice(words, p["start"].cast("int") + 1, p["n"].cast("int")))), " ")
 
 
+def _row_key() -> Column:
+    """A hash of the columns that tell documents apart beside the text; nulls have their own values."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("source").isNull(), "source", "text_key")
+
+
 def mixed_documents(docs: DataFrame, m: Mix) -> DataFrame:
     """The mix as documents: for each pass, a row with the words it takes of a document.
 
     A document of which a pass takes every word keeps its text as it is. The columns are those
-    of ``docs``; n_chars follows the text.
+    of ``docs``; n_chars follows the text. Texts and the words wanted of them are brought
+    together in one shuffle by two hashes (of 64 bits each) of id, source and text; repeated
+    rows, equal in all three, are numbered on both sides and meet by their number. Joins are
+    sorted ones: both sides grow with the input, and a size guessed from compressed files must
+    not turn one into a broadcast.
     """
-    used = m.fragments.join(m.slots.select("sid", "block", "turn"), ["sid", "block"])
-    parts = used.groupBy("sid", "at", "doc_id", "turn").agg(F.collect_list(F.struct("start", "n")).alias("parts"), F.sum("n").alias("got"))
-    keys = m.placed.filter("size > 0").select("sid", "at", "doc_id", "source", "text_key", "size")
-    # repeated rows (equal in id, source and text) are told apart by a number among themselves
-    same = [F.col("doc_id"), F.col("source"), F.col("text_key")]
-    from pyspark.sql import Window
-
-    keys = keys.withColumn("twin", F.row_number().over(Window.partitionBy(*same).orderBy("at")))
-    parts = parts.join(keys.drop("doc_id"), ["sid", "at"])
-    texts = docs.withColumn("text_key", F.xxhash64(whole_text()))
-    texts = texts.withColumn("twin", F.row_number().over(Window.partitionBy("doc_id", "source", "text_key").orderBy(F.lit(0))))
-    p = parts.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "text_key", "twin", "parts", "got", "size")])
-    on = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("text_key") == F.col("_text_key")) & (F.col("twin") == F.col("_twin"))
-    out = texts.join(p, on)
-    text = F.when(F.col("_got") == F.col("_size"), F.col("text")).otherwise(_words(whole_text(), "_parts"))
-    out = out.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    used = m.fragments.join(m.slots.select("sid", "block", "turn").hint("merge"), ["sid", "block"])
+    uses = used.groupBy("sid", "at").agg(F.collect_list(F.struct("turn", "start", "n")).alias("_uses"))
+
+    def keys(text_key: Column) -> list[Column]:
+        row = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("source").isNull(), "source", text_key)
+        return [row.alias("_k0"), text_key.alias("_k1")]
+
+    placed = m.placed.filter("size > 0").select("sid", "at", "size", *keys(F.col("text_key")))
+    wanted = uses.join(placed.hint("merge"), ["sid", "at"])
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    row_type = docs.select(row.alias("r")).schema["r"].dataType
+    none = lambda c: F.lit(None).cast(wanted.schema[c].dataType).alias(c)
+    texts = docs.select(row.alias("_row"), *keys(F.xxhash64(whole_text())), F.lit(True).alias("_is_row"), none("at"), none("_uses"), none("size"))
+    wanted = wanted.select(F.lit(None).cast(row_type).alias("_row"), "_k0", "_k1", F.lit(False).alias("_is_row"), "at", "_uses", "size")
+
+    both = texts.unionByName(wanted).repartition("_k0", "_k1")
+    both = both.withColumn("_twin", F.row_number().over(Window.partitionBy("_k0", "_k1", "_is_row").orderBy("at")))
+    pair = Window.partitionBy("_k0", "_k1", "_twin")
+    both = both.withColumn("_uses", F.first("_uses", True).over(pair)).withColumn("size", F.first("size", True).over(pair))
+    out = both.filter(F.col("_is_row") & F.col("_uses").isNotNull())
+
+    turn = F.explode(F.array_distinct(F.transform("_uses", lambda u: u["turn"]))).alias("_turn")
+    out = out.select("_row", "size", "_uses", turn).withColumn("_uses", F.filter("_uses", lambda u: u["turn"] == F.col("_turn")))
+    got = F.aggregate("_uses", F.lit(0).cast("long"), lambda s, u: s + u["n"])
+    old = F.col("_row.text")
+    out = out.withColumn("_text", F.when(got == F.col("size"), old).otherwise(_words(F.coalesce(old.cast("string"), F.lit("")), "_uses")))
+    new = {"text": F.col("_text"), "n_chars": F.length("_text")}
+    return out.select(*[new.get(c, F.col("_row")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

@@ -93,6 +93,13 @@ def test_mix(docs, none):
     texts = mixed_documents(docs, m).collect()
     assert sum(len((r.text or "").split()) for r in texts) == sum(r.taken for r in taken_words(m).collect())
     assert taken_words(mix(none)).count() == 0
+    # repeated rows and columns with clashing names keep their own words
+    odd = docs.unionByName(docs).withColumn("_k0", F.col("doc_id")).withColumn("size", F.lit("x")).withColumn("_uses", F.lit(1))
+    m = mix(odd, block_words=4)
+    texts = mixed_documents(odd, m).collect()
+    assert sum(len((r.text or "").split()) for r in texts) == sum(r.taken for r in taken_words(m).collect())
+    assert texts and all(r.size == "x" and r._k0 == r.doc_id for r in texts)
+    assert mixed_documents(none, mix(none)).count() == 0
 
 
 def test_pack(docs, none):
