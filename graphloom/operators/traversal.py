@@ -63,7 +63,7 @@ def scc(edges: DataFrame, most: int = 200) -> DataFrame:
 
     Nodes without an edge in or out are trimmed as components of their own. Of the others, each
     takes the smallest id that reaches it as its colour; going back from each colour's root
-    inside the colour gives whole components, which leave.
+    inside the colour gives whole components, which leave. Nodes left after ``most`` rounds raise.
     """
     edges = cut(edges.select("src", "dst").filter("src <> dst").distinct())
     left = cut(edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct())
@@ -88,6 +88,8 @@ def scc(edges: DataFrame, most: int = 200) -> DataFrame:
         done.append(whole)
         left = cut(left.join(whole, "id", "left_anti"))
         edges = cut(edges.join(left.withColumnRenamed("id", "src"), "src", "left_semi").join(left.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+    if not left.isEmpty():
+        raise RuntimeError("components did not settle")
     # a component's colour is the smallest id that reaches it, which is its own root's id
     return reduce(DataFrame.unionByName, done) if done else left.withColumn("component", F.col("id"))
 
