@@ -51,7 +51,7 @@ def op7_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(documents(spark, sf_dir))
+    return lm_scores(documents(spark, sf_dir), order=3)
 
 
 def op9_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:

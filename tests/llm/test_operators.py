@@ -175,6 +175,30 @@ def test_lm_scores(docs, none):
     assert lm_scores(none).count() == 0
 
 
+def test_lm_query_counts_trigrams(spark, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(i, ["\0"] + (t or "").encode().split()) for i, t, *_ in ROWS]
+    own = [Counter(tuple(w[j - k + 1 : j + 1]) for k in (1, 2, 3) for j in range(k - 1, len(w)) if len(w) > 1) for _, w in rows]
+    all_ = sum(own, Counter())
+    total = sum(len(w) - 1 for _, w in rows)
+    want = []
+    for (i, w), mine in zip(rows, own, strict=True):
+        r = lambda g: all_[g] - mine[g]  # noqa: B023, E731
+        s = full = 0
+        for j in range(1, len(w)):
+            for k in range(min(3, j + 1), 1, -1):
+                g = tuple(w[j - k + 1 : j + 1])
+                if r(g) > 0 and r(g[:-1]) > 0:
+                    s += math.log(r(g) / r(g[:-1])) + (3 - k) * math.log(0.4)
+                    full += k == 3
+                    break
+            else:
+                s += math.log(max(r((w[j],)), 0.5) / max(1, total - len(w) + 1)) + 2 * math.log(0.4)
+        want.append((i, len(w) - 1, full, pytest.approx(s)))
+    got = sorted((r.doc_id, r.n_words, r.n_full, r.log_score) for r in Q.op8_lm_backoff(spark, str(tmp_path)).collect())
+    assert got == sorted(want, key=lambda x: x[:3])
+
+
 def test_quality_held_out(spark):
     d, lab = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     r = score_quality(d, lab).filter("held_out").join(lab, "doc_id").select(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0]
