@@ -508,6 +508,14 @@ def rename_candidates(g):
     return j.select(F.col("o_qualified_name").alias("old_name"), F.col("qualified_name").alias("new_name"), F.round(score, 6).alias("score"))
 
 
+@graph_query(None)
+def rename_candidates_all(g):
+    """Renames to any name and place by score; the SQL of rename_candidates asks for the name's suffix."""
+    old, new = _snapshots(g)
+    ch = A.diff(old, new)
+    return A.renames(old.join(ch.filter("change = 'removed'"), "qualified_name", "left_semi"), new.join(ch.filter("change = 'added'"), "qualified_name", "left_semi"))
+
+
 @table_query("SELECT 'removed' AS change, l_partkey, l_suppkey, count(*) AS n FROM (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber <= 3 EXCEPT ALL SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber >= 3) a GROUP BY 2, 3 UNION ALL SELECT 'added', l_partkey, l_suppkey, count(*) FROM (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber >= 3 EXCEPT ALL SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber <= 3) b GROUP BY 2, 3")
 def edge_multiset_delta(spark, sf_dir):
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")

@@ -115,3 +115,27 @@ def rename_score(old_sig: Column, new_sig: Column, old_path: Column, new_path: C
     sig = levenshtein_similarity(F.coalesce(old_sig, F.lit("")), F.coalesce(new_sig, F.lit("")), by_bytes=True)
     loc = F.when(old_path != new_path, 0.7).when(lines <= 50, 1 - F.least(lines / 100, F.lit(0.5))).otherwise(0.3)
     return F.when(sig >= 0.7, 0.7 * sig + 0.3 * loc).otherwise(0.0)
+
+
+
+def renames(gone: DataFrame, come: DataFrame, least: float = 0.9) -> DataFrame:
+    """(old_name, new_name, score) of every removed and added node of one kind that score ``least`` or more.
+
+    Names play no part. The distinct signatures of a kind are compared once (null goes with null alone); a pair
+    of signatures whose best score is under ``least`` is never paired by node.
+    """
+    from ..functions.scalars import levenshtein_similarity
+
+    of = lambda d, p: d.select(*[F.col(c).alias(f"{p}_{c}") for c in ("qualified_name", "kind", "signature", "path", "start_line")])
+    o, n = of(gone, "o"), of(come, "n")
+    a, b = o.select("o_kind", "o_signature").distinct(), n.select("n_kind", "n_signature").distinct()
+    short, long = F.least(F.octet_length("o_signature"), F.octet_length("n_signature")), F.greatest(F.octet_length("o_signature"), F.octet_length("n_signature"))
+    floor = (least - 0.3) / 0.7 - 1e-9
+    both = F.col("o_signature").isNotNull() & F.col("n_signature").isNotNull()
+    alike = F.col("o_signature").eqNullSafe(F.col("n_signature")) | (both & (short >= long * floor) & (levenshtein_similarity(F.col("o_signature"), F.col("n_signature"), by_bytes=True) >= floor))
+    pairs = a.join(b, (F.col("o_kind") == F.col("n_kind")) & alike)
+    sides = o.join(pairs.select(F.col("o_kind").alias("k"), F.col("o_signature").alias("s"), "n_signature"), (F.col("o_kind") == F.col("k")) & F.col("o_signature").eqNullSafe(F.col("s"))).drop("k", "s")
+    added = n.withColumnRenamed("n_signature", "t")
+    j = sides.join(added, (F.col("o_kind") == F.col("n_kind")) & F.col("n_signature").eqNullSafe(F.col("t")))
+    score = rename_score(F.col("o_signature"), F.col("n_signature"), F.col("o_path"), F.col("n_path"), F.abs(F.col("o_start_line") - F.col("n_start_line")))
+    return j.withColumn("score", score).filter(F.col("score") >= least).select(F.col("o_qualified_name").alias("old_name"), F.col("n_qualified_name").alias("new_name"), F.round("score", 6).alias("score"))
\ No newline at end of file

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from graphloom import catalog
+from graphloom.operators import analytics as A
 from graphloom.operators import traversal as T
 from graphloom.project import open_graph
 
@@ -61,3 +62,35 @@ def test_scc_raises_when_it_does_not_settle(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(1, 9)], "src long, dst long")
     with pytest.raises(RuntimeError, match="settle"):
         T.scc(chain, most=1).collect()
+
+
+def distance(a, b):
+    row = range(len(b) + 1)
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_renames_by_score_alone(spark):
+    rng = random.Random(7)
+    sigs = [None, None, "", "fn(a: i32) -> i32", "fn(a: i64) -> i32", "fn(b)", "x" * 80, "x" * 79 + "y", "x" * 78 + "yz"]
+    side = lambda p, n: [(f"{p}{i}", rng.choice(["function", "struct"]), rng.choice(sigs), rng.choice(["f", "g"]), rng.randrange(1, 90)) for i in range(n)]
+    gone, come = side("old", 40), side("new", 40)
+    want = {}
+    for q, kind, sig, path, line in gone:
+        for q2, kind2, sig2, path2, line2 in come:
+            if kind != kind2 or (sig is None) != (sig2 is None):
+                continue
+            longer = max(len(sig or ""), len(sig2 or ""))
+            like = 1 - distance(sig or "", sig2 or "") / longer if longer else 1.0
+            far = abs(line - line2)
+            place = 0.7 if path != path2 else 1 - min(far / 100, 0.5) if far <= 50 else 0.3
+            if like >= 0.7 and 0.7 * like + 0.3 * place >= 0.9:
+                want[q, q2] = pytest.approx(0.7 * like + 0.3 * place, abs=1e-6)
+    schema = "qualified_name string, kind string, signature string, path string, start_line long"
+    got = A.renames(spark.createDataFrame(gone, schema), spark.createDataFrame(come, schema)).collect()
+    assert len(got) == len(want) and {(r.old_name, r.new_name): r.score for r in got} == want
+    null = {q for q, _, sig, *_ in gone if sig is None}
+    assert any(a in null for a, _ in want) and any(a not in null and abs(s.expected - 0.91) > 1e-3 and s.expected < 1 for (a, _), s in want.items())
