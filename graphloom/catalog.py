@@ -475,8 +475,9 @@ _OLD = "old AS (SELECT * FROM nodes WHERE kind IN ('method','function','struct')
 _NEW = _OLD + ", new AS (SELECT id, kind, CASE WHEN id % 101 = 0 THEN name || '_new' ELSE name END AS name, CASE WHEN id % 101 = 0 THEN qualified_name || '_new' ELSE qualified_name END AS qualified_name, path, CASE WHEN id % 89 = 0 THEN coalesce(signature, '') || 'x' ELSE signature END AS signature, CASE WHEN id % 83 = 0 THEN start_line + 5 ELSE start_line END AS start_line, end_line FROM old WHERE id % 97 <> 0)"
 
 
-def _snapshots(g):
-    old = g.nodes.filter("kind in ('method', 'function', 'struct') and id < 7000000000")
+def _snapshots(g, whole=False):
+    """The nodes of the SQL, or all with ``whole``, before and after the planted changes."""
+    old = g.nodes if whole else g.nodes.filter("kind in ('method', 'function', 'struct') and id < 7000000000")
     new = old.filter("id % 97 <> 0").withColumns({"name": F.when(F.col("id") % 101 == 0, F.concat("name", F.lit("_new"))).otherwise(F.col("name")), "qualified_name": F.when(F.col("id") % 101 == 0, F.concat("qualified_name", F.lit("_new"))).otherwise(F.col("qualified_name")), "signature": F.when(F.col("id") % 89 == 0, F.concat(F.coalesce("signature", F.lit("")), F.lit("x"))).otherwise(F.col("signature")), "start_line": F.when(F.col("id") % 83 == 0, F.col("start_line") + 5).otherwise(F.col("start_line"))})
     unique = lambda d: d.groupBy("qualified_name").agg(*[F.min(c).alias(c) for c in ("signature", "path", "start_line", "end_line", "kind", "name")])
     return unique(old), unique(new)
@@ -508,10 +509,23 @@ def rename_candidates(g):
     return j.select(F.col("o_qualified_name").alias("old_name"), F.col("qualified_name").alias("new_name"), F.round(score, 6).alias("score"))
 
 
+# The SQL's old snapshot is a part of the nodes; these take them all and have no SQL.
+
+
+@graph_query(None)
+def diff_changes_all(g):
+    return A.diff(*_snapshots(g, whole=True))
+
+
+@graph_query(None)
+def diff_summary_all(g):
+    return diff_changes_all(g).groupBy("change").agg(F.count("*").alias("n"))
+
+
 @graph_query(None)
 def rename_candidates_all(g):
     """Renames to any name and place by score; the SQL of rename_candidates asks for the name's suffix."""
-    old, new = _snapshots(g)
+    old, new = _snapshots(g, whole=True)
     ch = A.diff(old, new)
     return A.renames(old.join(ch.filter("change = 'removed'"), "qualified_name", "left_semi"), new.join(ch.filter("change = 'added'"), "qualified_name", "left_semi"))
 

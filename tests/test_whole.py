@@ -94,3 +94,22 @@ def test_renames_by_score_alone(spark):
     assert len(got) == len(want) and {(r.old_name, r.new_name): r.score for r in got} == want
     null = {q for q, _, sig, *_ in gone if sig is None}
     assert any(a in null for a, _ in want) and any(a not in null and abs(s.expected - 0.91) > 1e-3 and s.expected < 1 for (a, _), s in want.items())
+
+
+def test_diff_takes_every_node(spark):
+    nodes = [(k * 1_000_000_000 + i, kind) for k, kind in ((1, "module"), (2, "class"), (6, "function"), (7, "function"), (8, "function"), (9, "other")) for i in range(120)]
+    rows_ = [(i, kind, f"n{i}", f"q{i}", "p", None, 1, 2) for i, kind in nodes]
+    g = open_graph(spark.createDataFrame(rows_, "id long, kind string, name string, qualified_name string, path string, signature string, start_line long, end_line long"), None)
+    want = {}
+    for i, _ in nodes:
+        if i % 97 == 0 or i % 101 == 0:
+            want[f"q{i}"] = "removed"
+            if i % 97:
+                want[f"q{i}_new"] = "added"
+        elif i % 89 == 0 or i % 83 == 0:
+            want[f"q{i}"] = "signature_changed" if i % 89 == 0 else "modified"
+    assert rows(catalog.diff_changes_all(g), "qualified_name", "change") == sorted(want.items())
+    assert rows(catalog.diff_summary_all(g), "change", "n") == sorted((c, [*want.values()].count(c)) for c in {*want.values()})
+    kind = {f"q{i}": k for i, k in nodes} | {f"q{i}_new": k for i, k in nodes}
+    pairs = [(a, b) for a, x in want.items() if x == "removed" for b, y in want.items() if y == "added" and kind[a] == kind[b]]
+    assert rows(catalog.rename_candidates_all(g), "old_name", "new_name") == sorted(pairs)
