@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import documents, labels, shared_folder
-from graphloom.llm.exact_dedup import exact_dedup
+from graphloom.llm.common import cut, documents, labels, shared_folder, whole_text
+from graphloom.llm.exact_dedup import exact_dedup, normalised
 from graphloom.llm.mixing import mix, mixed_documents
 from graphloom.llm.near_dedup import near_dedup
 from graphloom.llm.packing import pack
@@ -25,18 +25,35 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, net, "_toxicity").filter("_toxicity < 0.7").drop("_toxicity")
 
 
-def _only(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """The rows that stay, one for each doc_id."""
-    ids = judged.filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+def _only(docs: DataFrame, judged: DataFrame, row: Column, judged_row: Column) -> DataFrame:
+    """The rows whose key is judged kept, one for each key."""
+    ids = judged.filter("kept").select(judged_row.alias("_kept")).distinct()
+    keyed = docs.withColumn("_row", row).join(ids, F.col("_row") == F.col("_kept"), "left_semi")
+    first = Window.partitionBy("_row").orderBy(F.xxhash64(whole_text()))
+    return keyed.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_row", "_n")
+
+
+def _with_text(digest: Column) -> Column:
+    return F.concat(digest, F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, exact_dedup(docs))
+    """One row of each text stays: doc_id and text name it, as other texts may have its doc_id."""
+    return _only(docs, exact_dedup(docs), _with_text(F.sha2(normalised(), 256)), _with_text(F.col("text_sha256")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, near_dedup(docs))
+    """Texts that share a doc_id are judged each: all but the first take a number over 2**62."""
+    shared = docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"), F.min(F.xxhash64(whole_text())).alias("_first")).filter("_n > 1").drop("_n")
+    shared = cut(shared)
+    if shared.isEmpty():
+        ids = near_dedup(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+        return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    other = F.xxhash64("doc_id", whole_text()).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+    node = F.when(F.col("_first") != F.xxhash64(whole_text()), other).otherwise(F.col("doc_id"))
+    named = docs.join(shared, F.col("doc_id") == F.col("_id"), "left").withColumn("_node", node).drop("_id", "_first")
+    ids = near_dedup(named.withColumn("doc_id", F.col("_node"))).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return named.join(ids, F.col("_node").eqNullSafe(F.col("_kept")), "left_semi").drop("_node")
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

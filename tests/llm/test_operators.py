@@ -289,3 +289,18 @@ def test_components_by_many_tasks(spark):
     for per_task in (10, 500_000):
         got = components(frame, links_per_task=per_task).collect()
         assert len(got) == len(root) and {r.node: r.component for r in got} == root
+
+
+def test_dedup_stages_keep_one_row_of_a_group(spark):
+    import corpus_pipeline as P
+
+    a, b, c = (" ".join(f"{p}{i}" for i in range(60)) for p in "abc")
+    rows = [(1, a), (1, a), (1, a.replace(" ", "  ")), (2, b), (1, b), (3, a), (3, c), (3, c + " tail"), (4, c + " tail"), (None, "x y z")]
+    frame = lambda r: spark.createDataFrame([(i, t, "en", "s", 0, 0.0, 0) for i, t in r], SCHEMA)
+    out = sorted((r.doc_id or 0, " ".join(r.text.split())) for r in P.drop_copies(spark, frame(rows), SF).collect())
+    # the smallest doc_id of each text
+    assert out == sorted([(1, a), (1, b), (3, c), (3, c + " tail"), (0, "x y z")])
+    out = P.drop_near_copies(spark, frame([(1, a), (1, b), (3, c), (3, c + " tail"), (5, b + " end"), (None, "x y z")]), SF).collect()
+    texts = [r.text for r in out]
+    assert len(texts) == 4 and a in texts and "x y z" in texts
+    assert sum(t.startswith("b0") for t in texts) == sum(t.startswith("c0") for t in texts) == 1
