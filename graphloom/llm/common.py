@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,13 +23,24 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; one of our own only where none is set, as in tests."""
+    """The checkpoint folder that the cluster names; one of our own only in a single local process, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-ckpt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-ckpt-"))
     return sc.getCheckpointDir()
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, or with underscores until no column has it (column names ignore case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
@@ -59,14 +72,15 @@ def partitions_for(spark: SparkSession, n_bytes: int, per_part: int) -> int:
     return max(least, -(-int(n_bytes) // per_part))
 
 
-def running_offset(df: DataFrame, group: list[str], order: list, weight: Column, out: str, rows: int, seed: int = 17, per_cell: int = 20_000) -> DataFrame:
+def running_offset(df: DataFrame, group: list[str], order: list, weight: Column, out: str, rows: int, seed: int = 17) -> DataFrame:
     """Adds the sum of ``weight`` over the rows before this one within its group.
 
     Groups of any size are dealt over cells by a seeded hash of ``order``; a cell's start comes
     from a table of one row per group and cell, so no task needs a whole group. The order within
-    a group is (cell, order). ``rows`` is the row count, from which the number of cells follows.
+    a group is (cell, order). ``rows`` is the row count; cells hold about its square root, so that
+    neither a cell nor a group's table of cells grows faster than that.
     """
-    cells = max(1, -(-rows // per_cell))
+    cells = max(1, -(-rows // max(1000, math.isqrt(rows))))
     cell = F.pmod(F.xxhash64(F.lit(seed), *order), F.lit(cells)).cast("int")
     df = df.withColumn("_cell", cell).withColumn("_w", weight.cast("long"))
     sums = df.groupBy(*group, "_cell").agg(F.sum("_w").alias("_cw"))
@@ -82,15 +96,17 @@ def running_offset(df: DataFrame, group: list[str], order: list, weight: Column,
     return joined.drop("_cell", "_w", "_start", "_s_cell", *[f"_s_{c}" for c in group])
 
 
-def join_sized(left: DataFrame, right: DataFrame, key: str, size: str, total: int, spread: Column, share: int = 200) -> DataFrame:
+def join_sized(left: DataFrame, right: DataFrame, key: str, size: str, total: int, spread: Column) -> DataFrame:
     """Left join on a string or long ``key`` that one value may dominate.
 
     ``right`` has one row per key, with the number of left rows in ``size``. The keys that hold
-    1/``share`` of all rows or more are at most ``share`` in number, which bounds the broadcast;
-    the others are joined by a shuffle, and rows that the broadcast served are dealt by
-    ``spread`` meanwhile. The order of magnitude of a task is then total/share at most.
+    1/share of all rows or more are at most ``share`` in number, which bounds the broadcast; share
+    is the number of shuffle partitions, 200 at least. The others are joined by a shuffle, and
+    rows that the broadcast served are dealt by ``spread`` meanwhile. So a key brings a task no
+    more than the even share of all rows.
     """
     cols = [c for c in right.columns if c != key]
+    share = max(200, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     limit = max(1000, total // share)
     hot = right.filter(F.col(size) >= limit).select(F.col(key).alias("_hk"), F.lit(True).alias("_hot"), *[F.col(c).alias(f"_h_{c}") for c in cols])
     marked = left.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
@@ -98,3 +114,23 @@ def join_sized(left: DataFrame, right: DataFrame, key: str, size: str, total: in
     cold = right.filter(F.col(size) < limit).select(F.concat(F.lit("k"), F.col(key).cast("string")).alias("_jk"), *[F.col(c).alias(f"_c_{c}") for c in cols])
     joined = marked.join(cold, "_jk", "left")
     return joined.select(*left.columns, *[F.coalesce(F.col(f"_h_{c}"), F.col(f"_c_{c}")).alias(c) for c in cols])
+
+
+def join_salted(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, spread: Column) -> DataFrame:
+    """Inner join on ``key`` where a few keys have very many rows on the left.
+
+    ``hot`` has ``key`` and ``salts``, the number of parts that the key's left rows are dealt over
+    by ``spread``; its right rows are repeated for each part. ``hot`` is broadcast: see ``hot_keys``.
+    """
+    some = F.broadcast(hot.select(F.col(key).alias("_hk"), "salts"))
+    parts = F.coalesce("salts", F.lit(1))
+    l_ = left.join(some, F.col(key) == F.col("_hk"), "left").withColumn("_salt", F.pmod(spread, parts)).drop("_hk", "salts")
+    r_ = right.join(some, F.col(key) == F.col("_hk"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_hk", "salts")
+    return l_.join(r_.hint("merge"), [key, "_salt"]).drop("_salt")
+
+
+def hot_keys(sizes: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """The keys over an even share of ``total`` rows, with the parts to cut them into: at most as many as there are shares."""
+    share = max(200, int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    limit = max(2000, total // share)
+    return cut(sizes.filter(F.col(size) > limit).select(key, F.ceil(F.col(size) / limit).cast("long").alias("salts")))

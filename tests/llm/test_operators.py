@@ -108,10 +108,16 @@ def test_pack(docs, none):
     per = Counter((r.bucket, r.batch) for r in rows)
     assert all(n <= max(1, 100 // max(1, next(r.boundary for r in rows if (r.bucket, r.batch) == k))) for k, n in per.items())
     assert pack(none).count() == 0
-    hist = [(n, k, n * k) for n, k in ((1, 5), (3, 1), (4, 9), (9, 2), (10, 4), (30, 1))]
-    waste = lambda tops: sum(k * (min(t for t in tops if t >= n) - n) for n, k, _ in hist)
-    best = min(waste((*c, 30)) for c in itertools.combinations([h[0] for h in hist[:-1]], 2))
-    assert waste(boundaries(hist, 3)) == best
+    rng = np.random.default_rng(8)
+    for _ in range(40):  # lengths beyond a few thousand words too
+        lengths = np.unique(rng.integers(0, rng.choice([40, 30_000]), rng.integers(1, 13)))
+        hist = [(int(x), int(rng.integers(1, 50))) for x in lengths]
+        waste = lambda tops: sum(k * (min(t for t in tops if t >= n) - n) for n, k in hist)  # noqa: B023, E731
+        for buckets in (1, 2, 3, 5, 20):
+            cuts = itertools.combinations([h[0] for h in hist[:-1]], min(buckets, len(hist)) - 1)
+            tops = boundaries(hist, buckets)
+            assert len(tops) <= buckets and tops == sorted(set(tops)) and waste(tops) == min(waste((*c, hist[-1][0])) for c in cuts)
+    assert boundaries([], 3) == []
 
 
 def test_secrets(spark, none):
