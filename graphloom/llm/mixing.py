@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, running_offset, whole_text, word_count
+from .common import WORD, cut, join_sized, running_offset, whole_text, word_count
 
 #: Cyclic weights of the sources in code-point order, null last.
 WEIGHTS = (3, 1, 2)
@@ -38,54 +38,92 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple = WEIGHTS, share
 @dataclass
 class Mix:
     """``placed``: one row per document with its source's number, word offset and target.
-    ``fragments``: the words of a document in a block. ``slots``: the drawn blocks, with shard and pass.
-    ``counts``: blocks drawn for each shard and source."""
+    ``fragments``: the words of a document in a block. ``counts``: the blocks drawn for each shard
+    and source, and where the shard's slots of the source start. ``slots``: the drawn blocks, with
+    shard and pass."""
 
     placed: DataFrame
     fragments: DataFrame
-    slots: DataFrame
     counts: DataFrame
+    slots: DataFrame
+
+
+#: Source rows are under 100 bytes, so a broadcast of so many is under 10 MB.
+FEW_SOURCES = 100_000
+#: Steps of a cycle walk that are written out; see ``permuted``.
+WALK = 64
+
+
+def radices(n: int) -> tuple[int, int]:
+    """Two factors whose product is ``n`` or little more: under sqrt(n) + 1 more."""
+    a = max(1, math.isqrt(n))
+    return a, -(-n // a)
+
+
+def permuted(k: Column, n: Column, a: Column, b: Column, *key: Column, seed: int = 5) -> Column:
+    """Where a keyed pseudorandom permutation of 0..n-1 sends ``k``.
+
+    A Feistel network of four rounds over pairs below ``a`` and ``b`` permutes 0..a*b-1; what it
+    sends to n or beyond walks on along its cycle until it is below n. A walk meets each of the
+    a*b-n places outside once at most, so it is complete where these are up to ``WALK``; beyond,
+    n is over 4,000 and a walk of more steps has a probability under 2**-384, and raises.
+    """
 
+    def once(x: Column) -> Column:
+        left, right = x % a, F.floor(x / a)
+        for j in range(4):
+            if j % 2:
+                right = F.pmod(right + F.pmod(F.xxhash64(F.lit(seed), F.lit(j), *key, left), b), b)
+            else:
+                left = F.pmod(left + F.pmod(F.xxhash64(F.lit(seed), F.lit(j), *key, right), a), a)
+        return left + a * right
 
-def _coprime(n: int, near: int) -> int:
-    a = near
-    while math.gcd(a, n) != 1:
-        a += 1
-    return a
+    outside = F.least(a * b - n, F.lit(WALK)).cast("int")
+    walk = F.aggregate(F.sequence(F.lit(0), outside), once(k), lambda x, _: F.when(x < n, x).otherwise(once(x)))
+    return F.when(walk < n, walk).otherwise(F.raise_error(F.lit("a cycle walk is too long")).cast("long"))
+
+
+def _each(runs: DataFrame, n: Column, start: Column, out: str, run: int = 4096) -> DataFrame:
+    """A row for each number from ``start`` to ``start`` + ``n`` - 1; runs are dealt before they are written out."""
+    dealt = runs.withColumn("_n", n).withColumn("_s", start).filter("_n > 0")
+    dealt = dealt.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / run)))).repartition("sid", "_s", "_run")
+    at = F.col("_s") + F.col("_run") * run
+    end = F.least(F.col("_s") + F.col("_n") - 1, at + run - 1)
+    return dealt.withColumn(out, F.explode(F.sequence(at, end))).drop("_n", "_s", "_run")
 
 
 def mix(docs: DataFrame, shards: int = 64, block_words: int = 64, seed: int = 5) -> Mix:
     """Plans the mix with DataFrame functions only.
 
     Each source's words, documents in a seeded order, are packed into blocks of ``block_words``
-    (its last one may be shorter). A source gets as many slots as make its blocks worth its
-    target; a seeded hash deals each slot to a shard, so that a shard's counts by source are a
-    multinomial draw given the sources' totals. A slot's number maps to a block through the
-    source's pseudorandom index permutation (another one in each pass), and blocks are joined by
-    (source, index). As slots never exceed twice the blocks, no block is used over twice.
-
-    Documents without words take part with size 0. Null sources form one source. Repeated rows
-    each have their own words. The sources' totals come to the driver, one row per source.
+    (its last one may be shorter). A source gets as many blocks as make them worth its target;
+    how many of them go to each output shard is a multinomial draw, made by seeded throws. A
+    shard's count is a run of the source's slots. A slot's number maps to a block through the
+    source's keyed pseudorandom index permutation (another one in each pass), and blocks are
+    joined by (source, index). As slots never exceed twice the blocks, no block is used over twice.
+
+    Documents without words take part with size 0, and an empty table gives an empty mix. Null
+    sources form one source. Repeated rows each have their own words; a very long text spans
+    many blocks. The sources' totals come to the driver, one row per source.
     """
     spark = docs.sparkSession
-    sized = docs.select("doc_id", "source", word_count(whole_text()).alias("size"), F.xxhash64(whole_text()).alias("text_key"))
+    key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
+    sized = docs.select("doc_id", "source", key.alias("_key"), word_count(whole_text()).alias("size"), F.xxhash64(whole_text()).alias("text_key"))
     sized = cut(sized)
     totals = [(r[0], int(r[1]), r[2]) for r in sized.groupBy("source").agg(F.sum("size"), F.count("*")).collect()]
     rows = sum(n for _, _, n in totals)
     want = targets([(s, w) for s, w, _ in totals])
     order = sorted(totals, key=lambda x: (x[0] is None, x[0] or ""))
     table = []
-    for i, (s, words, _) in enumerate(order):
+    for i, (s, words, n_rows) in enumerate(order):
         blocks = -(-words // block_words)
         slots = min(2 * blocks, round(want[s] * blocks / words)) if words else 0
-        near = 1 + (seed * 7919 + i * 104729) % 900_000
-        table.append((i, s, words, float(want[s]), blocks, slots, _coprime(max(1, blocks), 100_003 + near), _coprime(max(1, blocks), 200_003 + near)))
-    sources = spark.createDataFrame(table, "sid int, _source string, source_size long, target double, blocks long, slots long, step0 long, step1 long")
-
-    small = len(table) <= 10_000  # a row is under 100 bytes
-    dim = F.broadcast(sources) if small else sources
-    placed = sized.join(dim.select("sid", "_source", "source_size", "target"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    placed = running_offset(placed, ["sid"], [F.col("doc_id"), F.col("text_key")], F.col("size"), "at", rows, seed)
+        table.append((i, "n" if s is None else f"s{s}", words, float(want[s]), blocks, slots, *radices(blocks), n_rows))
+    sources = spark.createDataFrame(table, "sid int, _key string, source_size long, target double, blocks long, slots long, _a long, _b long, _rows long")
+
+    dim = sources.select("_key", "sid", "source_size", "target", "_rows")
+    placed = sized.join(F.broadcast(dim), "_key") if len(table) <= FEW_SOURCES else join_sized(sized, dim, "_key", "_rows", rows, F.xxhash64("doc_id", "text_key"))
+    placed = running_offset(placed.drop("_key", "_rows"), ["sid"], [F.col("doc_id"), F.col("text_key")], F.col("size"), "at", rows, seed)
     placed = cut(placed)
 
     first, last = F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words)
@@ -94,25 +132,31 @@ def mix(docs: DataFrame, shards: int = 64, block_words: int = 64, seed: int = 5)
     end = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block_words)
     fragments = some.select("doc_id", "sid", "at", "block", (begin - F.col("at")).alias("start"), (end - begin).alias("n"))
 
-    runs = sources.filter("slots > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / 4096))))
-    runs = runs.repartition("sid", "run")
-    slot = runs.withColumn("k", F.explode(F.sequence(F.col("run") * 4096, F.least(F.col("slots") - 1, F.col("run") * 4096 + 4095))))
-    turn = F.floor(F.col("k") / F.col("blocks"))
-    index = F.pmod((F.col("k") % F.col("blocks")) * F.when(turn == 0, F.col("step0")).otherwise(F.col("step1")) + turn * 31 + seed, F.col("blocks"))
+    own = sources.select("sid", "blocks", "slots", "_a", "_b")
+    throws = _each(own, F.col("slots"), F.lit(0).cast("long"), "k")
     shard = F.pmod(F.xxhash64(F.lit(seed), "sid", "k"), F.lit(shards)).cast("int")
-    slots = slot.select("sid", index.alias("block"), turn.cast("int").alias("turn"), shard.alias("shard"), "k")
-    counts = slots.groupBy("shard", "sid").agg(F.count("*").alias("blocks"))
-    return Mix(placed, fragments, slots, counts)
+    drawn = throws.groupBy("sid", "blocks", "_a", "_b", shard.alias("shard")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut(drawn.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long")))  # shards x sources rows
+
+    slot = _each(counts, F.col("n"), F.col("start"), "k")
+    turn = F.floor(F.col("k") / F.col("blocks"))
+    index = permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.col("_a"), F.col("_b"), F.col("sid"), F.col("turn"), seed=seed)
+    slots = slot.withColumn("turn", turn.cast("int")).select("sid", index.alias("block"), "turn", "shard", "k")
+    return Mix(placed, fragments, counts.select("shard", "sid", "n", "start"), slots)
 
 
 def taken_words(m: Mix) -> DataFrame:
-    """doc_id, size, source_size, target, taken: the words that the mix takes of each document."""
-    uses = m.slots.groupBy("sid", "block").agg(F.count("*").alias("uses"))
-    used = m.fragments.join(uses, ["sid", "block"]).groupBy("sid", "at", "doc_id").agg(F.sum(F.col("n") * F.col("uses")).alias("taken"))
-    used = used.select(F.col("sid").alias("_sid"), F.col("at").alias("_at"), F.col("doc_id").alias("_id"), "taken")
+    """doc_id, size, source_size, target, taken: the words that the mix takes of each document.
+
+    ``shards``, an added column, is the number of output shards that take some of it.
+    """
+    uses = m.slots.groupBy("sid", "block").agg(F.count("*").alias("uses"), F.collect_set("shard").alias("_shards"))
+    used = m.fragments.join(uses.hint("merge"), ["sid", "block"]).groupBy("sid", "at", "doc_id").agg(F.sum(F.col("n") * F.col("uses")).alias("taken"), F.array_distinct(F.flatten(F.collect_list("_shards"))).alias("_shards"))
+    used = used.select(F.col("sid").alias("_sid"), F.col("at").alias("_at"), F.col("doc_id").alias("_id"), "taken", F.size("_shards").alias("shards"))
     on = (F.col("sid") == F.col("_sid")) & (F.col("at") == F.col("_at")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("size") > 0)
-    out = m.placed.join(used, on, "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    out = m.placed.join(used.hint("merge"), on, "left")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("shards", F.lit(0)).alias("shards"))
 
 
 def _words(text: Column, parts: str) -> Column:
@@ -120,11 +164,6 @@ def _words(text: Column, parts: str) -> Column:
     return F.array_join(F.flatten(F.transform(F.sort_array(F.col(parts)), lambda p: F.slice(words, p["start"].cast("int") + 1, p["n"].cast("int")))), " ")
 
 
-def _row_key() -> Column:
-    """A hash of the columns that tell documents apart beside the text; nulls have their own values."""
-    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("source").isNull(), "source", "text_key")
-
-
 def mixed_documents(docs: DataFrame, m: Mix) -> DataFrame:
     """The mix as documents: for each pass, a row with the words it takes of a document.
 

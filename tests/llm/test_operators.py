@@ -16,7 +16,7 @@ from graphloom.llm.components import components
 from graphloom.llm.exact_dedup import build_directory, exact_dedup
 from graphloom.llm.lm_scoring import lm_scores
 from graphloom.llm.media import decode_png, encode_png, media_features, pad, to_media, unfilter
-from graphloom.llm.mixing import mix, mixed_documents, taken_words, targets
+from graphloom.llm.mixing import mix, mixed_documents, permuted, radices, taken_words, targets
 from graphloom.llm.near_dedup import near_dedup, prefix_pairs, superminhash
 from graphloom.llm.packing import boundaries, pack
 from graphloom.llm.quality import score_quality
@@ -102,6 +102,38 @@ def test_mix(docs, none):
     assert mixed_documents(none, mix(none)).count() == 0
 
 
+def test_mix_by_brute_force(spark, docs):
+    """Rebuilds the draw, the permutations and the words taken from the plan's tables, in plain Python."""
+    for n in [*range(1, 70), 997, 4097, 10_000]:
+        a, b = radices(n)
+        assert n <= a * b <= n + math.isqrt(n) + 1
+    r = spark.range(0, 997).select(permuted(F.col("id"), F.lit(997), *(F.lit(x) for x in radices(997)), F.lit(3)).alias("x"))
+    got = [x[0] for x in r.collect()]
+    assert sorted(got) == list(range(997)) and len({b - a for a, b in itertools.pairwise(got)}) > 500
+    m = mix(docs, shards=5, block_words=4)
+    placed = [r for r in m.placed.collect() if r["size"]]
+    sizes = {r.sid: (r.source_size, r.target) for r in placed}
+    blocks = {s: -(-n // 4) for s, (n, _) in sizes.items()}
+    slots = m.slots.collect()
+    counts = {(r.shard, r.sid): r.n for r in m.counts.collect()}
+    assert counts == Counter((x.shard, x.sid) for x in slots) and len({k for k, _ in counts}) == 5
+    uses = Counter()
+    for s, (n, target) in sizes.items():
+        own = sorted((x.k, x.block, x.turn, x.shard) for x in slots if x.sid == s)
+        assert [x[0] for x in own] == list(range(min(2 * blocks[s], round(target * blocks[s] / n)))) and [x[3] for x in own] == sorted(x[3] for x in own)
+        for t in (0, 1):  # each pass goes through a permutation
+            pass_ = [x[1] for x in own if x[2] == t]
+            assert len(set(pass_)) == len(pass_) == max(0, min(blocks[s], len(own) - t * blocks[s])) and all(0 <= x < blocks[s] for x in pass_)
+        uses.update((s, x[1]) for x in own)
+    words = [(s, at, i) for r in placed for s, at, i in [(r.sid, r.at + j, r.doc_id) for j in range(r["size"])]]
+    assert len(words) == len({w[:2] for w in words}) == sum(n for n, _ in sizes.values())
+    taken = Counter()
+    for s, at, i in words:
+        taken[i] += uses[s, at // 4]
+    assert taken == Counter({i: n for i, n in Counter({k: sum(r.taken for r in g) for k, g in itertools.groupby(sorted(taken_words(m).collect(), key=lambda r: r.doc_id), lambda r: r.doc_id)}).items() if n})
+    assert "shard" in taken_words(m)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_pack(docs, none):
     rows = pack(docs, buckets=3, token_budget=100).collect()
     assert len(rows) == len(ROWS) and all(r.padding >= 0 for r in rows)
