@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import queries as Q
 from graphloom.llm.components import components
-from graphloom.llm.exact_dedup import build_directory, exact_dedup
+from graphloom.llm.exact_dedup import Directory, Index, exact_dedup
 from graphloom.llm.lm_scoring import lm_scores
 from graphloom.llm.media import decode_png, encode_png, media_features, pad, to_media, unfilter
 from graphloom.llm.mixing import mix, mixed_documents, permuted, radices, taken_words, targets
@@ -44,8 +45,33 @@ def test_exact_dedup(docs, none):
     got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup(docs, bucket_bytes=64).collect())
     assert got == [(1, 1, 2, True), (2, 1, 2, False), (3, 3, 2, True), (4, 3, 2, False), (5, 5, 1, True), (6, 6, 1, True), (7, 7, 2, True), (7, 7, 2, True), (8, 8, 1, True), (9, 9, 1, True)]
     assert exact_dedup(none).count() == 0
-    depth, slots, local = build_directory({0: 10, 1: 10, 12: 1000}, 4, 15)
-    assert depth == 4 and len(set(slots)) == len({(s, d) for s, d in zip(slots, local, strict=True)})
+    rng = random.Random(4)
+    for bits, capacity, n in ((4, 15, 16), (17, 40, 60_000)):  # the second needs more than 2**14 buckets
+        d = Directory(capacity, bits)
+        loads = Counter()
+        for _ in range(n):
+            cell, load = rng.randrange(1 << bits), rng.randrange(1, 20)
+            loads[cell] += load
+            d.add(cell, load)
+        held = Counter()
+        for cell, load in loads.items():
+            held[d.slots[cell >> (bits - d.depth)]] += load
+        assert all(x <= capacity or d.local[b] == bits for b, x in held.items()) and len(d.slots) == 1 << d.depth
+        assert all(d.slots.count(b) == 1 << (d.depth - d.local[b]) for b in range(0, len(d.load), 1 + len(d.load) // 50))
+    assert len(d.load) > 1 << 13
+
+
+def test_exact_index_reopens(spark, docs, tmp_path):
+    exact_dedup(docs, bucket_bytes=64, folder=str(tmp_path / "i")).count()
+    index = Index(str(tmp_path / "i"))
+    entries, directory = index.entries(spark).collect(), {r.slot: r.bucket for r in index.directory(spark).collect()}
+    depth = len(directory).bit_length() - 1
+    assert depth > 0 and all(directory[(r.key % 2**64) >> (64 - depth)] == r.bucket for r in entries)
+    assert sum(r.group_size for r in entries) == len(ROWS) and len({r.text_sha256 for r in entries}) == len(entries)
+    # texts that share a doc_id are judged each
+    odd = spark.createDataFrame([(3, "same text"), (5, "other words"), (5, "same  text"), (None, "other words"), (None, "x")], "doc_id long, text string")
+    got = sorted(((r.doc_id or 0), r.keep_id or 0, r.group_size, r.kept) for r in exact_dedup(odd.withColumn("key", F.lit(1)).withColumn("slot", F.lit(1))).collect())
+    assert got == [(0, 0, 1, True), (0, 5, 2, False), (3, 3, 2, True), (5, 3, 2, False), (5, 5, 2, True)]
 
 
 def test_shuffle(docs, none):
@@ -60,6 +86,31 @@ def test_shuffle(docs, none):
     assert external_shuffle(none).count() == 0
 
 
+def test_shuffle_keeps_columns_and_splits_repeats(spark, tmp_path):
+    rows = [(i, f"text {i}", i * 9, "b", i + 1) for i in range(50)] + [(7, "same", 1, "b", 2)] * 3000 + [(None, None, 0, "n", 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, size long, bucket string, Slot int").repartition(5)
+    out = external_shuffle(d, shards=4, bucket_bytes=1000, folder=str(tmp_path / "x"))
+    assert out.columns == ["doc_id", "text", "input_size", "bucket", "input_Slot", "size", "shard", "grown_shard", "slot"]
+    got = out.collect()
+    assert Counter((r.doc_id, r.text, r.input_size, r.bucket, r.input_Slot) for r in got) == Counter(rows)
+    assert all(r["size"] == len(r.text or "") + 8 and r.grown_shard in (r["shard"], 4) for r in got)
+    shard = {}
+    for r in got:
+        assert shard.setdefault(r.doc_id, r["shard"]) == r["shard"]
+    for k in {*shard.values()}:
+        own = sorted((r.slot, r.doc_id) for r in got if r["shard"] == k)
+        assert [x for x, _ in own] == list(range(len(own)))
+    # written, and the same whatever the session's number of shuffle partitions
+    assert {r["shard"] for r in spark.read.parquet(str(tmp_path / "x")).collect()} == {*shard.values()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    again = external_shuffle(d, shards=4, bucket_bytes=1000).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    order = [r.doc_id for r in sorted(external_shuffle(spark.range(500).selectExpr("id as doc_id", "'t' as text"), shards=1).collect(), key=lambda r: r.slot)]
+    assert sorted(order) == list(range(500)) != order
+
+
 def test_media(docs, none):
     rows = media_features(to_media(docs)).collect()
     for r in rows:
