@@ -55,7 +55,7 @@ def op8_lm_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = external_shuffle(documents(spark, sf_dir))
+    out = external_shuffle(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "size", F.crc32(whole_text().cast("binary")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
