@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, documents, labels, shared_folder, whole_text
+from graphloom.llm.common import documents, fresh, labels, shared_folder, whole_text
 from graphloom.llm.exact_dedup import exact_dedup, normalised
 from graphloom.llm.mixing import mix, mixed_documents
 from graphloom.llm.near_dedup import near_dedup
@@ -20,53 +20,70 @@ from graphloom.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.7 or more go."""
+    """Documents that score 0.7 or more go; all other rows stay as they are, repeated ones too.
+
+    A null or empty text is scored like any other, and a very long one by all of its windows. An
+    empty table gives an empty result, and without labels of both kinds all rows get one score.
+    """
     net = fit_toxicity(docs, labels(spark, sf_dir))
-    return score_toxicity(docs, net, "_toxicity").filter("_toxicity < 0.7").drop("_toxicity")
+    score = fresh(docs.columns, "toxicity")
+    return score_toxicity(docs, net, score).filter(F.col(score) < 0.7).drop(score)
 
 
-def _only(docs: DataFrame, judged: DataFrame, row: Column, judged_row: Column) -> DataFrame:
-    """The rows whose key is judged kept, one for each key."""
-    ids = judged.filter("kept").select(judged_row.alias("_kept")).distinct()
-    keyed = docs.withColumn("_row", row).join(ids, F.col("_row") == F.col("_kept"), "left_semi")
-    first = Window.partitionBy("_row").orderBy(F.xxhash64(whole_text()))
-    return keyed.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_row", "_n")
+def _row(text: Column) -> list[Column]:
+    """Two keys that tell rows of one doc_id apart by a hash of their text."""
+    return [F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long")), text]
 
 
-def _with_text(digest: Column) -> Column:
-    return F.concat(digest, F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+def _only(docs: DataFrame, text: Column, kept: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each row key (two longs) that ``kept`` has; equal ones are combined before the shuffle."""
+    k0, k1 = fresh(docs.columns, "k0"), fresh(docs.columns, "k1")
+    a, b = _row(text)
+    one = docs.withColumns({k0: a, k1: b}).dropDuplicates([k0, k1])
+    return one.join(kept.toDF(k0, k1).distinct().hint("merge"), [k0, k1], "left_semi").select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each text stays: doc_id and text name it, as other texts may have its doc_id."""
-    return _only(docs, exact_dedup(docs), _with_text(F.sha2(normalised(), 256)), _with_text(F.col("text_sha256")))
+    """One row of each text stays, of those with its smallest doc_id.
+
+    Rows that share a doc_id are told apart by their text. Null and empty texts are one group. Of
+    repeated rows, which may differ in other columns, any one stays. An empty table stays empty.
+    """
+    digest = exact_dedup(docs.select("doc_id", "text")).filter("kept")
+    # the owner tasks compared the bytes; their digests lead back to the rows
+    return _only(docs, F.xxhash64(F.sha2(normalised(), 256)), digest.select(*_row(F.xxhash64("text_sha256"))))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that share a doc_id are judged each: all but the first take a number over 2**62."""
-    shared = docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"), F.min(F.xxhash64(whole_text())).alias("_first")).filter("_n > 1").drop("_n")
-    shared = cut(shared)
-    if shared.isEmpty():
-        ids = near_dedup(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-        return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    other = F.xxhash64("doc_id", whole_text()).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
-    node = F.when(F.col("_first") != F.xxhash64(whole_text()), other).otherwise(F.col("doc_id"))
-    named = docs.join(shared, F.col("doc_id") == F.col("_id"), "left").withColumn("_node", node).drop("_id", "_first")
-    ids = near_dedup(named.withColumn("doc_id", F.col("_node"))).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return named.join(ids, F.col("_node").eqNullSafe(F.col("_kept")), "left_semi").drop("_node")
+    """One row of each group of near copies stays: of those with its smallest doc_id, the first by its text's hash.
+
+    Texts without words are in no group and stay, one for each doc_id and text; so do rows that
+    share a doc_id but are no near copies. Shingles have four words, as this stage's operator has
+    by its contract. An empty table stays empty.
+    """
+    judged = near_dedup(docs.select("doc_id", "text")).filter("kept")
+    a, b = _row(F.col("text_key"))
+    first = judged.filter("group is not null").groupBy("group").agg(F.min(F.struct(b.alias("k1"), a.alias("k0"))).alias("o")).select("o.k0", "o.k1")
+    return _only(docs, F.xxhash64(whole_text()), first.unionByName(judged.filter("group is null").select(a.alias("k0"), b.alias("k1"))))
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixed_documents(docs, mix(docs))
+    """The mix as documents: up to two rows of a document, with the words that a pass takes of it.
+
+    Documents without words leave, as the mix has none of them. Null sources form one source, and
+    repeated rows each have their own words. An empty table stays empty.
+    """
+    return mixed_documents(docs, mix(docs.select("doc_id", "source", "text")))
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row's bucket, batch and place. Rows without words go to the first bucket; an empty table gives an empty result."""
     return pack(docs)
 
 
 STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("near-dedup", drop_near_copies), ("mixing", mix_to_weights), ("packing", pack_batches)]
 
-#: The trained network and the near-dedup signatures have no SQL form; tests hold run() against brute force.
+#: A trained network and seeded draws have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
