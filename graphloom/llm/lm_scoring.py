@@ -1,15 +1,22 @@
 """Stupid-backoff scores from n-gram count tables partitioned by hash.
 
-The relations are packed: a row of ``grams`` holds, for a block of documents and a bucket of
-hashes, the distinct n-grams of the block and how often it has them. Counting sums the rows of
-a bucket; the totals join back to the blocks they came from, where they are looked up for the
-exploded n-grams of each document and summed. A block has each n-gram once, so a frequent
-n-gram costs a bucket one entry per block and never a row per occurrence.
+Three relations, and the joins between them:
+
+- exploded(block, n-gram, n): the n-grams of the documents of a block, with how often it has them;
+- counts(n-gram, total): the sum of n by n-gram, partitioned by hash buckets;
+- exploded join counts by n-gram, back in the block, and the sum of the log scores by document.
+
+They are packed: a row of ``exploded`` holds the n-grams of a block in one bucket, as sorted
+hashes and counts in binary columns, and a row of the join the totals in the same order. A
+block has each n-gram once, so a frequent n-gram costs a bucket one entry per block and never a
+row per occurrence.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +36,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def exploded(texts: list[bytes], order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+def hash_bits(grams: int) -> int:
+    """24 bits more than tell ``grams`` n-grams apart: one shares its hash with another with a probability under 2**-24."""
+    return max(32, min(64, grams.bit_length() + 24))
+
+
+def exploded(texts: list[bytes], order: int, bits: int = 64) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """For texts end to end, each led by a start mark: the n-gram hashes that end at each place, by
     length from 1 (0 where the text's start cuts them off), the text of each place, and which
     places are words."""
@@ -56,7 +68,8 @@ def exploded(texts: list[bytes], order: int) -> tuple[np.ndarray, list[np.ndarra
         nxt[near < k - 1] = 0
         last = nxt
         grams.append(nxt)
-    return doc, grams, ~first
+    cut = np.uint64(64 - bits)
+    return doc, [np.where(g != 0, np.maximum(g >> cut, np.uint64(1)), g) for g in grams], ~first
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -73,18 +86,28 @@ def _steps(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x[:1], np.diff(x)])
 
 
-def _buckets(sorted_grams: np.ndarray, buckets: int) -> np.ndarray:
+def _buckets(sorted_grams: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     """Where each bucket begins in the sorted n-grams; buckets are equal ranges of hashes."""
-    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
+    edges = np.array([(b << bits) // buckets for b in range(1, buckets)], np.uint64)
     return np.concatenate([[0], np.searchsorted(sorted_grams, edges), [len(sorted_grams)]])
 
 
-def _packer(order: int, buckets: int):
+def _texts(table: pa.Table) -> list[bytes]:
+    return [zlib.decompress(t) for t in table.column("text").to_pylist()]
+
+
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, as they are shuffled."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zlib.compress(t, 1) for t in b.column(1).to_pylist()], pa.binary()), b.column(2)], names=["doc_id", "text", "blk"])
+
+
+def _packer(order: int, buckets: int, bits: int):
     def pack(key: tuple, table: pa.Table) -> pa.Table:
-        _, grams, _ = exploded(table.column("text").to_pylist(), order)
+        _, grams, _ = exploded(_texts(table), order, bits)
         flat = np.concatenate(grams)
         own, n = np.unique(flat[flat != 0], return_counts=True)
-        at = _buckets(own, buckets)
+        at = _buckets(own, buckets, bits)
         some = [b for b in range(buckets) if at[b] < at[b + 1]]
         return pa.table({
             "bucket": pa.array(some, pa.int32()), "blk": pa.array([key[0].as_py()] * len(some), pa.int32()),
@@ -106,10 +129,10 @@ def _total(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"blk": table.column("blk"), "bucket": table.column("bucket"), "totals": pa.array(parts, pa.binary())})
 
 
-def _scorer(order: int, alpha: float, corpus: int):
+def _scorer(order: int, alpha: float, corpus: int, bits: int):
     def score(key: tuple, docs: pa.Table, totals: pa.Table) -> pa.Table:
-        texts = docs.column("text").to_pylist()
-        doc, grams, word = exploded(texts, order)
+        texts = _texts(docs)
+        doc, grams, word = exploded(texts, order, bits)
         flat = np.concatenate(grams)
         own, at = np.unique(flat, return_inverse=True)
         rows = sorted(zip(totals.column("bucket").to_pylist(), totals.column("totals").to_pylist(), strict=True))
@@ -143,7 +166,7 @@ def _scorer(order: int, alpha: float, corpus: int):
     return score
 
 
-def lm_scores(docs: DataFrame, order: int = 2, alpha: float = 0.4, block_bytes: int = 6 << 20, seed: int = 13) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_bytes: int = 6 << 20, seed: int = 13) -> DataFrame:
     """doc_id, n_words, n_full, log_score and mean_log_score for every row.
 
     Every n-gram up to ``order`` of the whole corpus is counted. A word's score is
@@ -151,15 +174,24 @@ def lm_scores(docs: DataFrame, order: int = 2, alpha: float = 0.4, block_bytes:
     n-gram that other documents have, times ``alpha`` for each step down; a word found nowhere
     else counts as half an occurrence. n_full words were scored at the full order. Words are
     runs of non-space bytes; a start mark leads each text. A text without words (or null) has
-    0 words, a sum of 0 and no mean. Copies and repeated rows count for each other.
+    0 words, a sum of 0 and no mean. Copies and repeated rows count for each other. A very long
+    text lies in one block, whose size it then sets. An empty table gives an empty result; other
+    columns take no part. doc_id must be an integer (or a string of one).
+
+    Hashes have ``hash_bits`` bits, so that they grow with the corpus. Blocks hold about
+    ``block_bytes`` bytes of text, and buckets, as many as blocks, about the n-grams of one. A
+    block has a row for each bucket that it has n-grams in: as the corpus grows, rows get shorter
+    until each has one n-gram, and are never more than the n-grams of the blocks.
     """
     spark = docs.sparkSession
     text = whole_text()
     size, corpus = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)), F.coalesce(F.sum(word_count(text)), F.lit(0))).first()
     blocks = max(1, -(-size // block_bytes))
+    bits = hash_bits(corpus * order)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks // 2))
     blk = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64(text)), F.lit(blocks)).cast("int")
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"), blk.alias("blk")).repartition(parts, "blk")
-    grams = dealt.groupBy("blk").applyInArrow(_packer(order, blocks), "bucket int, blk int, grams binary, n binary")
+    small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"), blk.alias("blk")).mapInArrow(_small, "doc_id long, text binary, blk int")
+    dealt = small.repartition(parts, "blk")
+    grams = dealt.groupBy("blk").applyInArrow(_packer(order, blocks, bits), "bucket int, blk int, grams binary, n binary")
     totals = grams.groupBy("bucket").applyInArrow(_total, "blk int, bucket int, totals binary")
-    return dealt.groupBy("blk").cogroup(totals.groupBy("blk")).applyInArrow(_scorer(order, alpha, corpus), "doc_id long, n_words long, n_full long, log_score double, mean_log_score double")
+    return dealt.groupBy("blk").cogroup(totals.groupBy("blk")).applyInArrow(_scorer(order, alpha, corpus, bits), "doc_id long, n_words long, n_full long, log_score double, mean_log_score double")

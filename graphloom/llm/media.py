@@ -146,7 +146,9 @@ def to_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and a binary column ``media``: the text's bytes as a PNG.
 
     The UTF-8 bytes are padded with 0 to a positive multiple of 64, so an empty or null text is
-    one row of zeros. Equal texts give equal images.
+    one row of zeros. Equal texts give equal images, and repeated rows each get one. A very long
+    text is one image, made in one task in some ten times its bytes. An empty table gives an empty
+    result; other columns take no part, and doc_id must be an integer (or a string of one).
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().cast("binary").alias("text"))
     return src.mapInArrow(_encode, "doc_id long, n_bytes long, media binary")

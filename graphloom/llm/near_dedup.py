@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, gathered, join_sized, whole_text
+from .common import cut, gathered, hot_keys, join_salted, join_sized, whole_text
 from .components import components
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -132,7 +132,7 @@ def _signer(words: int, bands: int, rows: int):
                     key = _mix(key + lanes[:, :, r])
                 keys, bytes_ = iter(key.view(np.int64)), iter((lanes.reshape(len(some), -1) & np.uint64(255)).astype(np.uint8))
                 mark = [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([ids.slice(i, k - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(mark, pa.binary()), pa.array([next(keys) if len(s) else [] for s in sets], pa.list_(pa.int64())), pa.array([next(bytes_).tobytes() if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n_shingles", "mark", "bands", "lanes"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, k - i), b.column(2).slice(i, k - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(mark, pa.binary()), pa.array([next(keys) if len(s) else [] for s in sets], pa.list_(pa.int64())), pa.array([next(bytes_).tobytes() if len(s) else None for s in sets], pa.binary())], names=["doc_id", "text_key", "n_shingles", "mark", "bands", "lanes"])
 
     return sign
 
@@ -143,7 +143,9 @@ def _setter(words: int):
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
             for i, k in _grouped(texts):
-                yield pa.RecordBatch.from_arrays([ids.slice(i, k - i), pa.array([s.view(np.int64) for s in shingler.sets(texts[i:k])], pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+                sets = shingler.sets(texts[i:k])
+                mark = [xxhash.xxh128_hexdigest(s.tobytes()).upper() for s in sets]
+                yield pa.RecordBatch.from_arrays([ids.slice(i, k - i), pa.array(mark), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "mark", "shingles"])
 
     return make
 
@@ -160,8 +162,8 @@ def _likely(least: int):
     return keep
 
 
-#: Ids up to this number (8 bytes each) may be broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Nodes up to this number (under 100 bytes each: 20 MB) may be broadcast; more are joined by a shuffle.
+FEW_NODES = 200_000
 #: Rows that a task reads of checkpoints of short rows, and of rows with a signature.
 PAIRS, NODES = 200_000, 50_000
 
@@ -170,22 +172,28 @@ class Verifier:
     """Confirms pairs of nodes on their full sets."""
 
     def __init__(self, nodes: DataFrame, lanes: DataFrame, docs: DataFrame, words: int, percent: int, slots: int):
-        few = nodes.count() <= BROADCAST_IDS
-        ids = nodes.select(F.col("node").alias("doc_id"))
-        texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-        self.sets = cut(texts.mapInArrow(_setter(words), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]))
+        """``nodes`` has node, doc_id and mark: the document that stands for it and its set's digest."""
+        some = F.broadcast if nodes.count() <= FEW_NODES else lambda d: d
+        texts = docs.join(some(nodes.select("doc_id").distinct()), "doc_id", "left_semi")
+        sets = texts.select("doc_id", "text").mapInArrow(_setter(words), "doc_id long, mark string, shingles array<long>")
+        self.sets = cut(sets.join(some(nodes), ["doc_id", "mark"]).select("node", "shingles").dropDuplicates(["node"]))
         self.lanes, self.percent = lanes, percent
         # five and a half standard deviations below the threshold: a linked pair falls out once in 10**7
         p = percent / 100
         self.least = int(slots * p - 5.5 * (slots * p * (1 - p)) ** 0.5)
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (u, v) with 100 * intersection >= percent * union. Unlikely ones leave by signature first."""
+        """The pairs (u, v) with 100 * intersection >= percent * union. Unlikely ones leave by signature first.
+
+        A leader ``u`` of very many pairs has them dealt over tasks, each with a copy of its set.
+        """
         lanes = self.lanes
-        marked = pairs.join(lanes.select(F.col("node").alias("u"), F.col("lanes").alias("lu")), "u").join(lanes.select(F.col("node").alias("v"), F.col("lanes").alias("lv")), "v")
+        by = F.xxhash64("v")
+        hot = hot_keys(pairs.groupBy("u").agg(F.count("*").alias("n")), "u", "n", pairs.count())
+        marked = join_salted(pairs, lanes.select(F.col("node").alias("u"), F.col("lanes").alias("lu")), "u", hot, by).join(lanes.select(F.col("node").alias("v"), F.col("lanes").alias("lv")), "v")
         likely = gathered(marked.select("u", "v", "lu", "lv").mapInArrow(_likely(self.least), "u long, v long"), PAIRS)
-        first = likely.join(self.sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("sv")), "v")
-        both = first.join(self.sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("su")), "u")
+        first = likely.join(self.sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
+        both = join_salted(first, self.sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u", hot, by)
         same = F.size(F.array_intersect("su", "sv"))
         return gathered(both.filter(100 * same >= self.percent * (F.size("su") + F.size("sv") - same)).select("u", "v"), PAIRS)
 
@@ -210,13 +218,14 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     differ by more than the threshold have shingles of their own first, and so do not meet.
     """
     nodes = gathered(nodes, NODES)
-    few = nodes.count() <= BROADCAST_IDS
-    ids = nodes.select(F.col("node").alias("doc_id"))
-    own = sets.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    tokens = own.select(F.col("doc_id").alias("node"), F.explode("shingles").alias("s"))
+    few = nodes.count() <= FEW_NODES
+    own = sets.join(F.broadcast(nodes.select("node")) if few else nodes.select("node"), "node", "left_semi")
+    tokens = own.select("node", F.explode("shingles").alias("s"))
     often = tokens.groupBy("s").agg(F.count("*").alias("f")).filter("f > 1")
     each = Window.partitionBy("node")
-    ranked = tokens.join(often, "s").select("node", "s", F.row_number().over(each.orderBy("f", "s")).alias("k"), F.count("*").over(each).alias("m"))
+    total = own.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
+    met_often = join_salted(tokens, often, "s", hot_keys(often, "s", "f", total), F.col("node"))
+    ranked = met_often.select("node", "s", F.row_number().over(each.orderBy("f", "s")).alias("k"), F.count("*").over(each).alias("m"))
     placed = ranked.join(F.broadcast(nodes) if few else nodes, "node").withColumn("i", F.col("n") - F.col("m") + F.col("k"))
     both = 100 + percent
     rest = both * (F.col("n") - F.col("i") + 1)
@@ -235,7 +244,7 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, words: int = 4, percent: int = 80, bands: int = 32, rows: int = 4, rounds: int = 1) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row.
+    """doc_id, n_shingles, component_id, kept, text_key and group for every row.
 
     A document's set holds the distinct ``words``-word shingles of its lower-cased (A-Z) text.
     Documents with a similarity of ``percent`` or more are linked. Signatures of bands * rows
@@ -247,23 +256,32 @@ def near_dedup(docs: DataFrame, words: int = 4, percent: int = 80, bands: int =
     every link between them. So a large group of copies costs a few comparisons for each member,
     while no shared bucket goes unexamined.
 
-    An empty or null text has no shingles, is linked with nothing and keeps itself. Rows of the
-    same doc_id are one node (of their sets, the smallest by hash stands for it).
+    An empty or null text has no shingles, is linked with nothing and keeps itself. Rows that
+    share a doc_id are judged each by its text: a doc_id links nothing, and component_id is the
+    smallest doc_id among the rows linked with this one. ``group`` tells the groups of linked rows
+    apart where component_id can't (null without shingles), and ``text_key`` is the text's hash.
+    Repeated rows are members of one group. A null doc_id has a null component_id unless linked
+    with another. A text's shingles are held at once, with 160 bytes each while its signature is
+    made, in one task. doc_id must be an integer (or a string of one). An empty table gives an
+    empty result; other columns take no part.
     """
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().cast("binary").alias("text"))
-    signed = cut(src.mapInArrow(_signer(words, bands, rows), "doc_id long, n_shingles long, mark binary, bands array<long>, lanes binary"))
-    some = signed.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", F.hex("mark").alias("mark"), "bands", "lanes")
-    classes = gathered(some.groupBy("mark").agg(F.min("doc_id").alias("node"), F.count("*").alias("members")), NODES)
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().cast("binary").alias("text"), F.xxhash64(whole_text()).alias("text_key"))
+    signed = cut(src.mapInArrow(_signer(words, bands, rows), "doc_id long, text_key long, n_shingles long, mark binary, bands array<long>, lanes binary"))
+    some = signed.filter("n_shingles > 0").select("doc_id", "n_shingles", F.hex("mark").alias("mark"), "bands", "lanes")
+    classes = gathered(some.groupBy("mark").agg(F.min("doc_id").alias("first"), F.count("*").alias("members")), NODES)
     total = classes.agg(F.sum("members")).first()[0] or 0
-    joined = join_sized(some.select("doc_id", "mark", "n_shingles"), classes, "mark", "members", total, F.xxhash64("doc_id"))
-    member = gathered(joined.groupBy("doc_id").agg(F.min("node").alias("node")), NODES)
-    nodes = some.join(classes.select("mark", F.col("node").alias("doc_id")), ["mark", "doc_id"], "left_semi").dropDuplicates(["mark"])
-
-    exploded = nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    # the node of a class is its first doc_id; classes that share one, or have none, take numbers over 2**62
+    shared = classes.groupBy("first").agg(F.count("*").alias("c"), F.min("mark").alias("own")).filter("c > 1 or first is null").select(F.coalesce("first", F.lit(0)).alias("_f"), F.col("first").isNull().alias("_n"), "own")
+    odd = (F.xxhash64(F.lit(2), "mark").bitwiseAND((1 << 62) - 1)).bitwiseOR(1 << 62)
+    named = classes.join(shared, (F.coalesce("first", F.lit(0)) == F.col("_f")) & (F.col("first").isNull() == F.col("_n")), "left")
+    classes = gathered(named.select("mark", "first", "members", F.when(F.col("first").isNull() | (F.col("own") != F.col("mark")), odd).otherwise(F.col("first")).alias("node")), NODES)
+    nodes = some.join(classes.select("mark", F.col("first").alias("_first"), "node"), "mark").filter(F.col("doc_id").eqNullSafe(F.col("_first"))).dropDuplicates(["mark"])
+
+    exploded = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     buckets = exploded.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("inside")).filter("inside > 1")
     shared = gathered(join_sized(exploded.select("key", "node", "n"), gathered(buckets, PAIRS), "key", "inside", total * bands, F.col("node")).filter("least is not null"), PAIRS)
-    lanes = gathered(nodes.select(F.col("doc_id").alias("node"), "lanes").join(shared.select("node").distinct(), "node", "left_semi"), NODES)
-    verify = Verifier(lanes.select("node"), lanes, src, words, percent, bands * rows)
+    lanes = gathered(nodes.select("node", "doc_id", "mark", "lanes").join(shared.select("node").distinct(), "node", "left_semi"), NODES)
+    verify = Verifier(lanes.select("node", "doc_id", "mark"), lanes, src, words, percent, bands * rows)
     common = shared.filter("node <> least").groupBy(F.col("least").alias("u"), F.col("node").alias("v")).agg(F.count("*").alias("n"))
     best = common.groupBy("v").agg(F.max(F.struct(F.col("n"), (-F.col("u")).alias("u"))).alias("b"))
     tried = gathered(best.select((-F.col("b.u")).alias("u"), "v"), PAIRS)
@@ -292,8 +310,10 @@ def near_dedup(docs: DataFrame, words: int = 4, percent: int = 80, bands: int =
     if not new.isEmpty():
         found = joined_up(new)
 
-    # a doc_id with several sets ties its classes together, which is no link of texts
-    final = member.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles").join(final, "doc_id", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    grouped = classes.join(found, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    least = grouped.groupBy("group").agg(F.min("first").alias("component_id"))
+    final = gathered(grouped.join(least, "group").select("mark", "members", "group", "component_id"), NODES)
+    out = join_sized(signed.filter("n_shingles > 0").select("doc_id", "text_key", "n_shingles", F.hex("mark").alias("mark")), final, "mark", "members", total, F.xxhash64("doc_id", "text_key"))
+    alone = signed.filter("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group"))
+    out = out.select("doc_id", "text_key", "n_shingles", "component_id", "group").unionByName(alone)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key", "group")

@@ -344,17 +344,38 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
     return w
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1000, longest: int = 60_000, seed: int = 7) -> Network:
+#: Passages of EXCERPT words that a training text may have; a longer one is trained on so many of them.
+EXCERPT, PASSAGES = 64, 200
+
+
+def excerpt(text: str, seed: int) -> str:
+    """The whole text up to ``PASSAGES`` passages; of a longer one, as many passages drawn from all of it."""
+    words = text.split()
+    n = -(-len(words) // EXCERPT)
+    if n <= PASSAGES:
+        return text
+    rng = np.random.default_rng([seed, xxhash.xxh32_intdigest(text)])
+    some = np.sort(rng.choice(n, PASSAGES, replace=False)).tolist()
+    return "\n".join(" ".join(words[i * EXCERPT : (i + 1) * EXCERPT]) for i in some)
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1000, seed: int = 7) -> Network:
     """Trains on at most ``per_class`` labelled rows of each class outside the held-out third.
 
-    The rows are the first by a seeded hash; texts over ``longest`` characters are no training
-    rows, which bounds what the driver holds.
+    The rows are the first by a seeded hash, whatever their length. What comes to the driver is
+    their texts, of very long ones the passages of ``excerpt`` (12,800 words), which bounds it.
+    Null labels are ignored; a document with two labels is trained on with both.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).dropna().filter(~held_out_third(F.col("doc_id")))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).dropna().filter(~held_out_third(F.col("doc_id"))).distinct()
     by = [F.xxhash64(F.lit(seed), "doc_id"), F.col("doc_id")]
     ids = known.filter("y = 1").orderBy(*by).limit(per_class).unionByName(known.filter("y = 0").orderBy(*by).limit(per_class))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).filter(F.length("text") <= longest)
-    rows = texts.join(F.broadcast(ids), "doc_id").collect()  # 2 * per_class rows at most, but for repeated ids
+
+    def cut_down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([excerpt(t, seed) for t in b.column(2).to_pylist()], pa.string())], names=["doc_id", "y", "text"])
+
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).join(F.broadcast(ids), "doc_id")
+    rows = found.select("doc_id", "y", "text").mapInArrow(cut_down, "doc_id long, y int, text string").distinct().collect()
     rows.sort(key=lambda r: (r.doc_id, r.y, r.text))
     return train([r.text for r in rows], np.array([r.y for r in rows], int))
 
@@ -363,7 +384,8 @@ def score_toxicity(docs: DataFrame, net: Network, out: str = "score") -> DataFra
     """Adds the score of each whole text; all other columns stay as they are.
 
     A null text counts as empty; a text without words has no window and gets the document
-    layer's value for none. Repeated rows get equal scores.
+    layer's value for none. Repeated rows get equal scores, and a very long text is scored by all
+    of its windows. An empty table gives an empty result. ``out`` must be no column of ``docs``.
     """
     shared = docs.sparkSession.sparkContext.broadcast((net.p, net.head))  # a few MB, by the constants above
 
@@ -379,7 +401,10 @@ def score_toxicity(docs: DataFrame, net: Network, out: str = "score") -> DataFra
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``."""
+    """doc_id, held_out, score, predicted for every row of ``docs``; other columns take no part.
+
+    doc_id must be an integer (or a string of one); a null one is not held out.
+    """
     net = fit_toxicity(docs, labels)
     scored = score_toxicity(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), net)
     return scored.select("doc_id", F.coalesce(held_out_third(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

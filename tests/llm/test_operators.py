@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -20,10 +21,10 @@ from graphloom.llm.media import decode_png, encode_png, media_features, pad, to_
 from graphloom.llm.mixing import mix, mixed_documents, permuted, radices, taken_words, targets
 from graphloom.llm.near_dedup import near_dedup, prefix_pairs, superminhash
 from graphloom.llm.packing import boundaries, pack
-from graphloom.llm.quality import score_quality
+from graphloom.llm.quality import fit, score_quality
 from graphloom.llm.secrets import scan_secrets
 from graphloom.llm.sharding import external_shuffle
-from graphloom.llm.toxicity import Network, toxicity, windows
+from graphloom.llm.toxicity import Network, excerpt, fit_toxicity, score_toxicity, toxicity, windows
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, bucket int"
@@ -239,6 +240,21 @@ def test_near_dedup(spark, docs, none):
     assert near_dedup(none).count() == 0
 
 
+def test_near_dedup_judges_rows_that_share_a_doc_id(spark):
+    a, b, c = (" ".join(f"{p}{i}" for i in range(60)) for p in "abc")
+    rows = [(3, a), (5, b), (5, a + " tail"), (5, a), (7, c), (2, c + " tail"), (2, b + " tail"), (None, "x y z"), (None, a), (None, "q r s"), (9, ""), (9, None), (2, "alone here")]
+    d = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, node long, mark string")
+    got = near_dedup(d).collect()
+    key = {r.text_key: None for r in got}
+    assert len(got) == len(rows)
+    want = {a: 3, a + " tail": 3, b: 2, b + " tail": 2, c: 2, c + " tail": 2, "x y z": None, "q r s": None, "alone here": 2}
+    of = {t: spark.range(1).select(F.xxhash64(F.lit(t))).first()[0] for t in want}
+    assert all(r.component_id == want[t] and r.kept == (r.doc_id == want[t]) for t, k in of.items() for r in got if r.text_key == k)
+    group = lambda t: {r.group for r in got if r.text_key == of[t]}
+    assert len(key) == 10 and group(b) == group(b + " tail") != group(c) == group(c + " tail") and len(group(a)) == 1
+    assert {(r.doc_id, r.component_id, r.kept, r.group) for r in got if not r.n_shingles} == {(9, 9, True, None)}
+
+
 def test_superminhash():
     r = np.random.default_rng(3)
     base = r.integers(0, 2**63, 150).astype(np.uint64)
@@ -259,7 +275,7 @@ def test_lm_scores(docs, none):
             r = lambda *g: all_[g] - mine[g]  # noqa: B023, E731
             s += math.log(r(a, b) / r(a)) if r(a, b) > 0 and r(a) > 0 else math.log(0.4 * max(r(b), 0.5) / max(1, total - len(w) + 1))
         want.append((i, len(w) - 1, pytest.approx(s)))
-    got = sorted((r.doc_id, r.n_words, r.log_score) for r in lm_scores(docs, block_bytes=1000).collect())
+    got = sorted((r.doc_id, r.n_words, r.log_score) for r in lm_scores(docs, order=2, block_bytes=1000).collect())
     assert got == sorted(want, key=lambda x: (x[0], x[1]))
     assert lm_scores(none).count() == 0
 
@@ -313,6 +329,68 @@ def test_toxicity_learns(spark):
     assert sum(x.predicted == y[x.doc_id] for x in held) > 0.9 * len(held)
 
 
+def test_long_texts_take_part_in_training(spark):
+    r = np.random.default_rng(1)
+    whole = " ".join(f"w{i}" for i in range(12_800))
+    assert excerpt(whole, 1) == whole
+    words = [f"w{i}" for i in range(40_000)]
+    part = excerpt(" ".join(words), 1).split()
+    assert len(part) == 12_800 and len(set(part)) == 12_800 and max(int(w[1:]) for w in part) > 39_000
+    # toxic texts are all over 60,000 characters here
+    texts = [" ".join(r.choice([f"word{j}" for j in range(40)], 12_000 if i % 3 == 0 else 60)) for i in range(45)]
+    texts = [" ".join("vileness" if i % 3 == 0 and k % 5 == 2 else w for k, w in enumerate(t.split())) for i, t in enumerate(texts)]
+    assert min(len(t) for t in texts[::3]) > 60_000
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(45)], "doc_id long, toxic int")
+    net = fit_toxicity(d, lab)
+    assert {x.doc_id: x.score > 0.5 for x in score_toxicity(d, net, "score").collect()} == {i: i % 3 == 0 for i in range(45)}
+
+
+def plain_logit(net, x, steps):
+    """The network's forward pass over one window, one number at a time."""
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    p, size = net.p, net.p["wh"].shape[1]
+    states = []
+    for k, seq in ((0, steps), (1, steps[::-1])):
+        h, own = [0.0] * size, []
+        for t in seq:
+            a = [sum(x[t][i] * p["wx"][k][i][j] for i in range(len(x[t]))) + p["b"][k][0][j] for j in range(3 * size)]
+            u = [sum(h[i] * p["wh"][k][i][j] for i in range(size)) for j in range(3 * size)]
+            z, g = ([sig(a[o + j] + u[o + j]) for j in range(size)] for o in (0, size))
+            c = [math.tanh(a[2 * size + j] + g[j] * u[2 * size + j]) for j in range(size)]
+            h = [(1 - z[j]) * c[j] + z[j] * h[j] for j in range(size)]
+            own.append(h)
+        states.append(own if k == 0 else own[::-1])
+    both = [f + b for f, b in zip(*states, strict=True)]
+    score = [sum(math.tanh(sum(s[i] * p["wa"][i][j] for i in range(len(s))) + p["ba"][j]) * p["va"][j] for j in range(len(p["va"]))) for s in both]
+    w = [math.exp(s - max(score)) for s in score]
+    return sum(w[t] / sum(w) * sum(both[t][i] * p["wo"][i] for i in range(2 * size)) for t in range(len(both))) + p["bo"][0]
+
+
+def test_network_by_plain_arithmetic():
+    net, r = Network.start(4), np.random.default_rng(2)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x, ids = r.standard_normal((9, 12)), r.integers(0, 9, (4, 6))
+    sizes = [6, 4, 1, 3]
+    got = net.forward(x, ids, np.arange(6) < np.array(sizes)[:, None])[0]
+    assert got == pytest.approx([plain_logit(net, x, ids[i, :n].tolist()) for i, n in enumerate(sizes)], abs=1e-5)
+
+
+def test_discriminant_by_densities():
+    r = np.random.default_rng(6)
+    x = np.concatenate([r.standard_normal((60, 5)) * [1, 2, 1, 3, 1] + 1, r.standard_normal((40, 5))])
+    y = np.repeat([0, 1], [60, 40])
+    z = (x - x.mean(0)) / (x.std(0) + 1e-6)
+    pooled = 0.6 * np.cov(z[:60].T, bias=True) + 0.4 * np.cov(z[60:].T, bias=True)
+    dens = []
+    for own, share in ((z[:60], 0.6), (z[60:], 0.4)):
+        a = max(0.1, 5 / len(own))
+        cov = (1 - a) * np.cov(own.T, bias=True) + a * np.diag(np.diag(pooled))
+        d = z - own.mean(0)
+        dens.append(math.log(share) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * (d * np.linalg.solve(cov, d.T).T).sum(1))
+    assert fit(x, y).score(x) == pytest.approx(1 / (1 + np.exp(-(dens[1] - dens[0]) / 4)))
+
+
 def test_gradients():
     net, r = Network.start(2), np.random.default_rng(0)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
@@ -334,6 +412,18 @@ def test_gradients():
     assert doc.tolist() == [1, 2, 3, 3, 4, 4, 4, 4] and (size[-1] + start[-1]) == 330
 
 
+@pytest.mark.parametrize(("name", "sf"), [("op6_near_dedup", "sf0.001"), ("op8_lm_backoff", "sf0.001"), ("op10_exact_dedup", "sf0.001"), ("op10_exact_dedup", "sf0.01")])
+def test_queries_match_their_sql(spark, name, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '/root/testdata/{sf}/documents.parquet'")
+    want = con.execute(Q.oracle_sql()[name])
+    names = sorted(d[0] for d in want.description)
+    df = Q.queries()[name](spark, f"/root/testdata/{sf}")
+    assert sorted(df.columns) == names
+    want = sorted(map(repr, want.df()[names].itertuples(index=False, name=None)))
+    assert sorted(map(repr, df.select(names).toPandas().itertuples(index=False, name=None))) == want
+
+
 @pytest.mark.parametrize("name", ["op1_secret_ownership", "op4_media_png", "op9_external_shuffle", "op10_exact_dedup"])
 def test_queries_cover_all_rows(spark, name):
     assert Q.queries()[name](spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
@@ -347,11 +437,62 @@ def test_secret_base_matches_python(spark):
         assert got[r.doc_id] == hashlib.sha256(",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(s)).encode()).hexdigest()
 
 
-def test_pipeline(spark):
-    import corpus_pipeline
+def pipeline_rows():
+    """Labelled toxic and clean texts, exact and near copies, rows that share a doc_id, repeats and empty texts."""
+    r = np.random.default_rng(11)
+    word = lambda n: [f"w{i}" for i in r.integers(0, 4000, n)]
+    rows, lab = [], []
+    for i in range(90):
+        toxic = i % 3 == 0
+        rows.append((i, " ".join("vileness" if toxic and k % 6 == 2 else w for k, w in enumerate(word(70 + i))), f"s{i % 4}"))
+        lab.append((i, 1, int(toxic)))
+    clean = [x for x in rows if x[0] % 3]
+    rows += [(200 + i, "  ".join(t.split()), s) for i, (_, t, s) in enumerate(clean[:9])]
+    rows += [(300 + i, t + " tail", s) for i, (_, t, s) in enumerate(clean[5:20])]
+    rows += [(1, " ".join(word(40)), "s9"), clean[0], clean[0], (400, None, "s1"), (401, "", None), (402, " \n", "s2"), (403, "one two", None)]
+    return rows, lab
 
-    out = corpus_pipeline.run(spark, SF).collect()
-    assert out and {"doc_id", "bucket", "batch", "place"} <= set(out[0].asDict())
+
+def test_pipeline_stages_by_brute_force(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rows, lab = pipeline_rows()
+    schema = "doc_id long, text string, source string, kept boolean, toxicity double, k0 int, size string, batch int"
+    docs = spark.createDataFrame([(*r, False, 0.5, 1, "x", 3) for r in rows], schema).repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(lab, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    outs, now = [], docs
+    for k, (_, stage) in enumerate(P.STAGES):
+        out = stage(spark, now, str(tmp_path))
+        assert k == 4 or out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{k}")
+        now = spark.read.parquet(f"{tmp_path}/{k}")
+        outs.append(now.collect())
+    pairs = lambda x: Counter((r.doc_id, r.text) for r in x)
+    assert pairs(outs[0]) == Counter((i, t) for i, t, _ in rows if "vileness" not in (t or ""))
+    least: dict = {}
+    for r in outs[0]:
+        t = " ".join((r.text or "").split()) if (r.text or "").split() else " " if r.text else ""
+        least[t] = min(least.get(t, r.doc_id), r.doc_id)
+    squeezed = lambda t: re.sub(r"[ \t-\r]+", " ", t or "")
+    assert Counter((r.doc_id, squeezed(r.text)) for r in outs[1]) == Counter((i, t) for t, i in least.items())
+    sets = [{tuple(w[j : j + 4]) for j in range(max(1, len(w) - 3))} if (w := (r.text or "").lower().split()) else set() for r in outs[1]]
+    group = list(range(len(sets)))
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            group = [group[a] if g == group[b] else g for g in group]
+    want = Counter(min(outs[1][k].doc_id for k in range(len(sets)) if group[k] == g) for g in set(group))
+    assert Counter(r.doc_id for r in outs[2]) == want and pairs(outs[2]) <= pairs(outs[1])
+    taken = {(r.doc_id, r.size): r.taken for r in taken_words(mix(spark.read.parquet(f"{tmp_path}/2"))).collect()}
+    mixed = Counter()
+    for r in outs[3]:
+        mixed[r.doc_id] += len(r.text.split())
+    assert mixed == Counter({i: sum(v for (j, _), v in taken.items() if j == i) for i in {j for j, _ in taken}} | {}) + Counter()
+    assert Counter((r.doc_id, r.n_tokens) for r in outs[4]) == Counter((r.doc_id, len((r.text or "").split())) for r in outs[3])
+    assert P.run(spark, str(tmp_path)).count() == len(outs[4])
+    empty = docs.limit(0)
+    for _, stage in P.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
 
 
 def test_prefix_pairs_miss_no_link(spark):
@@ -360,7 +501,7 @@ def test_prefix_pairs_miss_no_link(spark):
     sets = {k: sorted({int(x) if rng.random() > 0.08 else int(rng.integers(1000, 3000)) for x in base[k % 4][: int(rng.integers(40, 61))]}) for k in range(120)}
     part = {k: k % 7 for k in sets}
     nodes = spark.createDataFrame([(k, len(v), part[k]) for k, v in sets.items()], "node long, n long, component long")
-    frame = spark.createDataFrame([*sets.items()], "doc_id long, shingles array<long>")
+    frame = spark.createDataFrame([*sets.items()], "node long, shingles array<long>")
     got = {(r.u, r.v) for r in prefix_pairs(nodes, frame, 80).collect()}
     links = {(a, b) for a, b in itertools.combinations(sets, 2) if part[a] != part[b] and 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]})}
     assert len(links) > 20 and links <= got and all(a < b and part[a] != part[b] for a, b in got)
