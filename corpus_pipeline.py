@@ -58,8 +58,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One row of each group of near copies stays: of those with its smallest doc_id, the first by its text's hash.
 
     Texts without words are in no group and stay, one for each doc_id and text; so do rows that
-    share a doc_id but are no near copies. Shingles have four words, as this stage's operator has
-    by its contract. An empty table stays empty.
+    share a doc_id but are no near copies. Shingles have five words. An empty table stays empty.
     """
     judged = near_dedup(docs.select("doc_id", "text")).filter("kept")
     a, b = _row(F.col("text_key"))
