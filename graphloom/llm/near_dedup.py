@@ -243,7 +243,7 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("x", "node").alias("u"), F.greatest("x", "node").alias("v")).distinct()
 
 
-def near_dedup(docs: DataFrame, words: int = 4, percent: int = 80, bands: int = 32, rows: int = 4, rounds: int = 1) -> DataFrame:
+def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, rounds: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, text_key and group for every row.
 
     A document's set holds the distinct ``words``-word shingles of its lower-cased (A-Z) text.

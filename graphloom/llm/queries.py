@@ -43,7 +43,7 @@ def op5_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_dedup(documents(spark, sf_dir), words=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op7_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:

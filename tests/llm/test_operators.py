@@ -234,7 +234,7 @@ def test_near_dedup(spark, docs, none):
     extra = [(100 + i, " ".join(w if (j * 7 + i * 13) % 61 > 2 else f"u{i}_{j}" for j, w in enumerate(base)), "en", "s") for i in range(40)]
     d = spark.createDataFrame([(i, t, a, s, 0, 0.0, 0) for i, t, a, s in ROWS + extra], SCHEMA)
     want = brute_components(ROWS + extra)
-    got = near_dedup(d).collect()
+    got = near_dedup(d, words=4).collect()
     assert len(got) == len(ROWS) + 40
     assert all((r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.component_id == r.doc_id) for r in got)
     assert near_dedup(none).count() == 0
@@ -476,7 +476,7 @@ def test_pipeline_stages_by_brute_force(spark, tmp_path):
         least[t] = min(least.get(t, r.doc_id), r.doc_id)
     squeezed = lambda t: re.sub(r"[ \t-\r]+", " ", t or "")
     assert Counter((r.doc_id, squeezed(r.text)) for r in outs[1]) == Counter((i, t) for t, i in least.items())
-    sets = [{tuple(w[j : j + 4]) for j in range(max(1, len(w) - 3))} if (w := (r.text or "").lower().split()) else set() for r in outs[1]]
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := (r.text or "").lower().split()) else set() for r in outs[1]]
     group = list(range(len(sets)))
     for a, b in itertools.combinations(range(len(sets)), 2):
         if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
