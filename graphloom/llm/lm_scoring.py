@@ -142,11 +142,11 @@ def _scorer(order: int, alpha: float, corpus: int, bits: int):
         if len(found) != len(own):
             raise RuntimeError("a block's n-grams and totals differ")
         at = at.reshape(order, -1)
-        # without the document's own occurrences
-        pair = doc[None, :] * max(1, len(own)) + at
-        _, inverse, mine = np.unique(pair, return_inverse=True, return_counts=True)
-        rest = found[at] - mine[inverse.reshape(at.shape)] if at.size else np.zeros((order, 0))
-        rest = np.where(np.stack(grams) != 0, rest, 0)
+        del flat
+        rest = np.zeros((order, len(doc)), np.int64)
+        for k in range(order):  # without the document's own occurrences; a length at a time bounds what is held
+            _, inverse, mine = np.unique(doc * max(1, len(own)) + at[k], return_inverse=True, return_counts=True)
+            rest[k] = np.where(grams[k] != 0, found[at[k]] - mine[inverse], 0)
         n = np.bincount(doc[word], minlength=len(texts)) if len(doc) else np.zeros(len(texts), np.int64)
         outside = np.maximum(1, corpus - n)
         logs = np.log(np.maximum(rest[0], 0.5) / outside[doc]) + (order - 1) * math.log(alpha)
