@@ -60,33 +60,44 @@ def radices(n: int) -> tuple[int, int]:
     return a, -(-n // a)
 
 
-def permuted(k: Column, n: Column, a: Column, b: Column, *key: Column, seed: int = 5) -> Column:
-    """Where a keyed pseudorandom permutation of 0..n-1 sends ``k``.
+def _rounds(left: Column, right: Column, a: Column, b: Column, key: list, seed: int) -> list:
+    """The four rounds of the network: which half changes (0 left, 1 right), and how it comes from both."""
+    step = lambda j, own, other, n: F.pmod(own + F.pmod(F.xxhash64(F.lit(seed), F.lit(j), *key, other), n), n)
+    return [lambda x, y: step(0, x, y, a), lambda x, y: step(1, y, x, b), lambda x, y: step(2, x, y, a), lambda x, y: step(3, y, x, b)]
+
+
+def permuted(df: DataFrame, k: Column, n: str, a: str, b: str, key: list, out: str, seed: int = 5) -> DataFrame:
+    """Adds where a keyed pseudorandom permutation of 0..n-1 sends ``k``.
 
     A Feistel network of four rounds over pairs below ``a`` and ``b`` permutes 0..a*b-1; what it
     sends to n or beyond walks on along its cycle until it is below n. A walk meets each of the
     a*b-n places outside once at most, so it is complete where these are up to ``WALK``; beyond,
     n is over 4,000 and a walk of more steps has a probability under 2**-384, and raises.
     """
+    n_, a_, b_ = F.col(n), F.col(a), F.col(b)
+    df = df.withColumn("_l", k % a_).withColumn("_r", F.floor(k / a_))
+    for j, f in enumerate(_rounds(F.col("_l"), F.col("_r"), a_, b_, key, seed)):
+        df = df.withColumn("_r" if j % 2 else "_l", f(F.col("_l"), F.col("_r")))
 
     def once(x: Column) -> Column:
-        left, right = x % a, F.floor(x / a)
-        for j in range(4):
-            if j % 2:
-                right = F.pmod(right + F.pmod(F.xxhash64(F.lit(seed), F.lit(j), *key, left), b), b)
-            else:
-                left = F.pmod(left + F.pmod(F.xxhash64(F.lit(seed), F.lit(j), *key, right), a), a)
-        return left + a * right
-
-    outside = F.least(a * b - n, F.lit(WALK)).cast("int")
-    walk = F.aggregate(F.sequence(F.lit(0), outside), once(k), lambda x, _: F.when(x < n, x).otherwise(once(x)))
-    return F.when(walk < n, walk).otherwise(F.raise_error(F.lit("a cycle walk is too long")).cast("long"))
-
-
-def _each(runs: DataFrame, n: Column, start: Column, out: str, run: int = 4096) -> DataFrame:
-    """A row for each number from ``start`` to ``start`` + ``n`` - 1; runs are dealt before they are written out."""
+        left, right = x % a_, F.floor(x / a_)
+        for j, f in enumerate(_rounds(left, right, a_, b_, key, seed)):
+            left, right = (left, f(left, right)) if j % 2 else (f(left, right), right)
+        return left + a_ * right
+
+    df = df.withColumn("_x", F.col("_l") + a_ * F.col("_r"))
+    steps = F.sequence(F.lit(1), F.least(a_ * b_ - n_, F.lit(WALK)).cast("int"))
+    walk = F.aggregate(steps, F.col("_x"), lambda x, _: F.when(x < n_, x).otherwise(once(x)))
+    df = df.withColumn(out, F.when(F.col("_x") < n_, F.col("_x")).otherwise(walk))
+    checked = F.when(F.col(out) < n_, F.col(out)).otherwise(F.raise_error(F.lit("a cycle walk is too long")).cast("long"))
+    return df.withColumn(out, checked).drop("_l", "_r", "_x")
+
+
+def _each(runs: DataFrame, n: Column, start: Column, out: str, total: int, run: int = 4096) -> DataFrame:
+    """A row for each number from ``start`` to ``start`` + ``n`` - 1; runs are dealt over tasks before they are written out."""
+    tasks = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // 1_000_000))
     dealt = runs.withColumn("_n", n).withColumn("_s", start).filter("_n > 0")
-    dealt = dealt.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / run)))).repartition("sid", "_s", "_run")
+    dealt = dealt.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / run)))).repartition(tasks, "sid", "_s", "_run")
     at = F.col("_s") + F.col("_run") * run
     end = F.least(F.col("_s") + F.col("_n") - 1, at + run - 1)
     return dealt.withColumn(out, F.explode(F.sequence(at, end))).drop("_n", "_s", "_run")
@@ -133,16 +144,16 @@ def mix(docs: DataFrame, shards: int = 64, block_words: int = 64, seed: int = 5)
     fragments = some.select("doc_id", "sid", "at", "block", (begin - F.col("at")).alias("start"), (end - begin).alias("n"))
 
     own = sources.select("sid", "blocks", "slots", "_a", "_b")
-    throws = _each(own, F.col("slots"), F.lit(0).cast("long"), "k")
+    all_slots = sum(r[5] for r in table)
+    throws = _each(own, F.col("slots"), F.lit(0).cast("long"), "k", all_slots)
     shard = F.pmod(F.xxhash64(F.lit(seed), "sid", "k"), F.lit(shards)).cast("int")
     drawn = throws.groupBy("sid", "blocks", "_a", "_b", shard.alias("shard")).agg(F.count("*").alias("n"))
     before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = cut(drawn.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long")))  # shards x sources rows
 
-    slot = _each(counts, F.col("n"), F.col("start"), "k")
-    turn = F.floor(F.col("k") / F.col("blocks"))
-    index = permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.col("_a"), F.col("_b"), F.col("sid"), F.col("turn"), seed=seed)
-    slots = slot.withColumn("turn", turn.cast("int")).select("sid", index.alias("block"), "turn", "shard", "k")
+    slot = _each(counts, F.col("n"), F.col("start"), "k", all_slots).withColumn("turn", F.floor(F.col("k") / F.col("blocks")).cast("int"))
+    slot = permuted(slot, F.col("k") % F.col("blocks"), "blocks", "_a", "_b", [F.col("sid"), F.col("turn")], "block", seed)
+    slots = slot.select("sid", "block", "turn", "shard", "k")
     return Mix(placed, fragments, counts.select("shard", "sid", "n", "start"), slots)
 
 

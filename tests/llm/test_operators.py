@@ -159,9 +159,12 @@ def test_mix_by_brute_force(spark, docs):
     for n in [*range(1, 70), 997, 4097, 10_000]:
         a, b = radices(n)
         assert n <= a * b <= n + math.isqrt(n) + 1
-    r = spark.range(0, 997).select(permuted(F.col("id"), F.lit(997), *(F.lit(x) for x in radices(997)), F.lit(3)).alias("x"))
-    got = [x[0] for x in r.collect()]
-    assert sorted(got) == list(range(997)) and len({b - a for a, b in itertools.pairwise(got)}) > 500
+    for n in (1, 2, 3, 5, 7, 13, 997):
+        a, b = radices(n)
+        r = permuted(spark.range(0, n).withColumns({"n": F.lit(n), "a": F.lit(a), "b": F.lit(b)}), F.col("id"), "n", "a", "b", [F.lit(3)], "x")
+        got = [x.x for x in r.collect()]
+        assert sorted(got) == list(range(n))
+    assert len({b - a for a, b in itertools.pairwise(got)}) > 500
     m = mix(docs, shards=5, block_words=4)
     placed = [r for r in m.placed.collect() if r["size"]]
     sizes = {r.sid: (r.source_size, r.target) for r in placed}
