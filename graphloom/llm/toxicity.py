@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -58,17 +57,17 @@ class Vocabulary(dict):
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token numbers of the texts end to end, and each text's number of tokens."""
-        words = [t.lower().encode().split() for t in texts]
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        ids = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, int(lengths.sum()))
+        runs = [np.array([self[w] for w in t.lower().encode().split()], np.int64) for t in texts]
+        lengths = np.fromiter(map(len, runs), np.int64, len(runs))
+        ids = np.concatenate([np.zeros(0, np.int64), *runs])
         at = np.flatnonzero(ids < 0)
         if len(at):
-            runs = np.ones(len(ids), np.int64)
-            runs[at] = [len(self.long[-i]) for i in ids[at].tolist()]
-            ends = np.concatenate([[0], np.cumsum(runs)])
+            many = np.ones(len(ids), np.int64)
+            many[at] = [len(self.long[-i]) for i in ids[at].tolist()]
+            ends = np.concatenate([[0], np.cumsum(many)])
             bounds = np.concatenate([[0], np.cumsum(lengths)])
             lengths = np.diff(ends[bounds])
-            wide = np.repeat(ids, runs)
+            wide = np.repeat(ids, many)
             for i in at.tolist():
                 wide[ends[i] : ends[i + 1]] = self.long[-ids[i]]
             ids = wide
@@ -86,7 +85,7 @@ def hashed(types: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         for k in range(n):
             h = (h ^ raw[:, k : width - n + 1 + k]) * np.uint32(16777619)
         h ^= h >> np.uint32(15)
-        slot = (h & np.uint32((1 << GRAM_BITS) - 1)).astype(np.int64)
+        slot = (h & np.uint32((1 << GRAM_BITS) - 1)).astype(np.int32)
         slot[raw[:, n - 1 :] == 0] = -1
         parts.append(slot)
     return word, np.concatenate(parts, 1)
@@ -273,7 +272,7 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 3, batch: int = 128, pe
     net.p["gram"][-1] = -4
     start, size, doc = windows(lengths)
     cue["gram"][-1] = -4
-    strength = np.maximum(cue["word"][word], cue["gram"][grams].max(1))
+    strength = np.concatenate([np.maximum(cue["word"][word[i : i + 5000]], cue["gram"][grams[i : i + 5000]].max(1)) for i in range(0, len(word), 5000)])
     sums = np.concatenate([[0], np.cumsum(np.maximum(0, strength[flat] - 1))])
     logit = sums[start + size] - sums[start]
     moment: dict[str, list] = {}
