@@ -311,8 +311,8 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
         found = joined_up(new)
 
     grouped = classes.join(found, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    least = grouped.groupBy("group").agg(F.min("first").alias("component_id"))
-    final = gathered(grouped.join(least, "group").select("mark", "members", "group", "component_id"), NODES)
+    least = cut(grouped.groupBy("group").agg(F.min("first").alias("component_id"), F.count("*").alias("_in")))
+    final = gathered(join_sized(grouped, least, "group", "_in", least.agg(F.coalesce(F.sum("_in"), F.lit(0))).first()[0], F.xxhash64("mark")).select("mark", "members", "group", "component_id"), NODES)
     out = join_sized(signed.filter("n_shingles > 0").select("doc_id", "text_key", "n_shingles", F.hex("mark").alias("mark")), final, "mark", "members", total, F.xxhash64("doc_id", "text_key"))
     alone = signed.filter("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group"))
     out = out.select("doc_id", "text_key", "n_shingles", "component_id", "group").unionByName(alone)
