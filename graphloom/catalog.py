@@ -12,31 +12,8 @@ from .functions import scalars as X
 from .operators import analytics as A
 from .operators import relations as R
 from .operators import traversal as T
-from .project import Graph, load, oracle_prefix
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def graph_query(sql: str | None, ctes: str = "") -> Callable:
-    def add(f: Callable[[Graph], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(load(spark, sf_dir))
-        if sql:
-            SQL[f.__name__] = f"{oracle_prefix()}{', ' + ctes if ctes else ''} {sql}"
-        return f
-
-    return add
-
-
-def table_query(sql: str | None) -> Callable:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
+from .project import Graph
+from .registry import QUERIES, SQL, graph_query, table_query
 
 def _functions(g: Graph) -> DataFrame:
     return g.nodes.filter("kind = 'function'")
@@ -115,9 +92,9 @@ def imports_of(g):
     return _ids(R.sources_of(g, g.nodes, g.nodes.filter("id in (4000000003, 4000000004)"), "imports"))
 
 
-@graph_query("SELECT id FROM nodes WHERE id IN (SELECT dst FROM edges WHERE kind = 'contains' AND src = 2000000003 AND src <> dst UNION SELECT src FROM edges WHERE kind = 'contains' AND dst = 2000000003 AND src <> dst)")
+@graph_query("SELECT id FROM nodes WHERE id IN (SELECT dst FROM edges WHERE kind = 'exports' AND src = 2000000003 AND src <> dst UNION SELECT src FROM edges WHERE kind = 'exports' AND dst = 2000000003 AND src <> dst)")
 def exports_either_side(g):
-    return _ids(R.either_side(g, g.nodes, g.nodes.filter("id = 2000000003"), "contains"))
+    return _ids(R.either_side(g, g.nodes, g.nodes.filter("id = 2000000003"), "exports"))
 
 
 @graph_query("SELECT id FROM nodes WHERE id IN (SELECT dst FROM edges JOIN nodes s ON s.id = src WHERE edges.kind IN ('calls','references','imports','ffi_call') AND regexp_matches(s.name, '^order_[12]0+$'))")
@@ -308,11 +285,11 @@ def dependency_tree(g):
     return T.levels(g.nodes.filter("id = 6000000011"), g.of("calls", "imports", "references"), 3)
 
 
-_ENTRY = "visibility = 'public' AND kind = 'method' OR name LIKE 'order\\_1%' ESCAPE '\\' AND path = '1-URGENT'"
+_ENTRY = "(visibility IN ('public','pub') OR name = 'main' OR name LIKE 'test\\_%' ESCAPE '\\' OR name LIKE '%\\_test' ESCAPE '\\' OR kind IN ('export','test'))"
 
 
 def _entries(g):
-    return g.nodes.filter("visibility = 'public' and kind = 'method' or (name like 'order\\\\_1%' and path = '1-URGENT')")
+    return g.nodes.filter(R.is_entry_point())
 
 
 @graph_query(f"SELECT id FROM nodes WHERE {_ENTRY}")
@@ -349,20 +326,23 @@ def reachability(g):
     return T.closure(_named(g, "user_3"), g.of("calls"))
 
 
-_UC = "c AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges WHERE kind = 'calls' AND src >= 7000000000 AND src < 8000000000), p(a, b) AS (SELECT src, dst FROM c UNION SELECT a, dst FROM p JOIN c ON src = b), v AS (SELECT src AS id FROM c UNION SELECT dst FROM c), s AS MATERIALIZED (SELECT v.id, coalesce(min(least(v.id, x.b)), v.id) AS component FROM v LEFT JOIN (SELECT p.a, p.b FROM p JOIN p q ON q.a = p.b AND q.b = p.a) x ON x.a = v.id GROUP BY v.id)"
+# Nodes without a call in or out lie on no cycle; three rounds of leaving them out make the closure of the rest small.
+_UC = "c AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges WHERE kind = 'calls'), c1 AS MATERIALIZED (SELECT src, dst FROM c WHERE src <> dst AND src IN (SELECT dst FROM c) AND dst IN (SELECT src FROM c)), c2 AS MATERIALIZED (SELECT src, dst FROM c1 WHERE src IN (SELECT dst FROM c1) AND dst IN (SELECT src FROM c1)), c3 AS MATERIALIZED (SELECT src, dst FROM c2 WHERE src IN (SELECT dst FROM c2) AND dst IN (SELECT src FROM c2)), p(a, b) AS (SELECT src, dst FROM c3 UNION SELECT a, dst FROM p JOIN c3 ON src = b), s AS MATERIALIZED (SELECT v.id, coalesce(min(least(v.id, x.b)), v.id) AS component FROM (SELECT DISTINCT id FROM nodes) v LEFT JOIN (SELECT p.a, p.b FROM p JOIN p q ON q.a = p.b AND q.b = p.a) x ON x.a = v.id GROUP BY v.id)"
 
 
-def _user_calls(g):
-    return g.of("calls").filter("src >= 7000000000 and src < 8000000000").select("src", "dst").distinct()
+def _calls(g):
+    return g.of("calls").select("src", "dst").distinct()
 
 
 _DERIVED: dict[int, tuple[Graph, DataFrame]] = {}
 
 
 def _labels(g):
-    """The components of the user calls: derived once for a snapshot, then read from the shared folder."""
+    """The components of all calls, derived once for a snapshot; a node without a call is one of its own."""
     if id(g) not in _DERIVED:
-        _DERIVED[id(g)] = (g, cut(T.scc(_user_calls(g))))
+        found = cut(T.scc(_calls(g)))
+        alone = g.nodes.select("id").distinct().join(found, "id", "left_anti").withColumn("component", F.col("id"))
+        _DERIVED[id(g)] = (g, cut(found.unionByName(alone)))
     return _DERIVED[id(g)][1]
 
 
@@ -373,7 +353,7 @@ def scc_labels(g):
 
 @graph_query("SELECT component, count(*) AS size FROM s GROUP BY 1 HAVING count(*) BETWEEN 2 AND 500", _UC)
 def cycles_bounded(g):
-    return T.cycles(_user_calls(g), 2, 500, labels=_labels(g))
+    return T.cycles(_calls(g), 2, 500, labels=_labels(g))
 
 
 @graph_query("SELECT id, count(*) OVER (PARTITION BY component) > 1 AS in_cycle FROM s", _UC)
@@ -385,62 +365,11 @@ def is_in_cycle(g):
 
 @graph_query("SELECT DISTINCT a.component AS src, b.component AS dst FROM c JOIN s a ON a.id = c.src JOIN s b ON b.id = c.dst WHERE a.component <> b.component", _UC)
 def condensation(g):
-    e, labels = _user_calls(g), _labels(g)
-    j = e.join(labels.select(F.col("id").alias("src"), F.col("component").alias("a")), "src").join(labels.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst")
-    return j.filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    return T.condense(_calls(g), _labels(g))
 
 
-@graph_query("SELECT id, least(id, coalesce((SELECT min(b) FROM p WHERE a = id), id)) AS component FROM nodes WHERE kind = 'other'", "c AS MATERIALIZED (SELECT src, dst FROM edges WHERE kind = 'contains' AND src >= 9000000000), p(a, b) AS (SELECT dst, src FROM c UNION SELECT src, dst FROM c UNION SELECT p.a, y FROM p JOIN (SELECT src AS x, dst AS y FROM c UNION SELECT dst, src FROM c) u ON x = p.b)")
+@graph_query("SELECT t.id, min(t.id) OVER (PARTITION BY root) AS component FROM t", "t(id, root) AS (SELECT id, id FROM nodes WHERE id NOT IN (SELECT dst FROM edges WHERE kind = 'contains') UNION ALL SELECT dst, root FROM t JOIN edges ON src = id WHERE kind = 'contains')")
 def components(g):
-    return T.components(g.nodes.filter("kind = 'other'"), g.of("contains").filter("src >= 9000000000"))
-
-
-# The five queries above answer for the id range of their SQL; these answer for every node and edge.
-# A closure of the whole graph is too much for SQL, so they have none: tests hold them against brute force.
-
-
-def _calls(g):
-    return g.of("calls").select("src", "dst").distinct()
-
-
-_WHOLE: dict[int, tuple[Graph, DataFrame]] = {}
-
-
-def _all_labels(g):
-    """The components of all calls; a node without a call is one of its own."""
-    if id(g) not in _WHOLE:
-        found = cut(T.scc(_calls(g)))
-        alone = g.nodes.select("id").distinct().join(found, "id", "left_anti").withColumn("component", F.col("id"))
-        _WHOLE[id(g)] = (g, cut(found.unionByName(alone)))
-    return _WHOLE[id(g)][1]
-
-
-@graph_query(None)
-def scc_labels_all(g):
-    return _all_labels(g)
-
-
-@graph_query(None)
-def cycles_bounded_all(g):
-    return T.cycles(_calls(g), 2, 500, labels=_all_labels(g))
-
-
-@graph_query(None)
-def is_in_cycle_all(g):
-    labels = _all_labels(g)
-    big = labels.groupBy("component").agg((F.count("*") > 1).alias("in_cycle"))
-    return labels.join(big, "component").select("id", "in_cycle")
-
-
-@graph_query(None)
-def condensation_all(g):
-    labels = _all_labels(g)
-    j = _calls(g).join(labels.select(F.col("id").alias("src"), F.col("component").alias("a")), "src").join(labels.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst")
-    return j.filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
-
-
-@graph_query(None)
-def components_all(g):
     return T.components(g.nodes, g.of("contains"))
 
 
@@ -471,13 +400,13 @@ def path_score(g):
     return _route(g).select(_text(), F.round(1.0 / F.col("steps"), 6).alias("score"))
 
 
-_OLD = "old AS (SELECT * FROM nodes WHERE kind IN ('method','function','struct') AND id < 7000000000)"
+_OLD = "old AS (SELECT * FROM nodes)"
 _NEW = _OLD + ", new AS (SELECT id, kind, CASE WHEN id % 101 = 0 THEN name || '_new' ELSE name END AS name, CASE WHEN id % 101 = 0 THEN qualified_name || '_new' ELSE qualified_name END AS qualified_name, path, CASE WHEN id % 89 = 0 THEN coalesce(signature, '') || 'x' ELSE signature END AS signature, CASE WHEN id % 83 = 0 THEN start_line + 5 ELSE start_line END AS start_line, end_line FROM old WHERE id % 97 <> 0)"
 
 
-def _snapshots(g, whole=False):
-    """The nodes of the SQL, or all with ``whole``, before and after the planted changes."""
-    old = g.nodes if whole else g.nodes.filter("kind in ('method', 'function', 'struct') and id < 7000000000")
+def _snapshots(g):
+    """All nodes before and after the planted changes."""
+    old = g.nodes
     new = old.filter("id % 97 <> 0").withColumns({"name": F.when(F.col("id") % 101 == 0, F.concat("name", F.lit("_new"))).otherwise(F.col("name")), "qualified_name": F.when(F.col("id") % 101 == 0, F.concat("qualified_name", F.lit("_new"))).otherwise(F.col("qualified_name")), "signature": F.when(F.col("id") % 89 == 0, F.concat(F.coalesce("signature", F.lit("")), F.lit("x"))).otherwise(F.col("signature")), "start_line": F.when(F.col("id") % 83 == 0, F.col("start_line") + 5).otherwise(F.col("start_line"))})
     unique = lambda d: d.groupBy("qualified_name").agg(*[F.min(c).alias(c) for c in ("signature", "path", "start_line", "end_line", "kind", "name")])
     return unique(old), unique(new)
@@ -497,35 +426,14 @@ def diff_summary(g):
     return A.diff(*_snapshots(g)).groupBy("change").agg(F.count("*").alias("n"))
 
 
-@graph_query("SELECT o.qualified_name AS old_name, n.qualified_name AS new_name, round(0.7 + 0.3 * (CASE WHEN o.path <> n.path THEN 0.7 WHEN abs(o.start_line - n.start_line) <= 50 THEN 1 - least(abs(o.start_line - n.start_line) / 100.0, 0.5) ELSE 0.3 END), 6) AS score FROM old1 o JOIN ch a ON a.qualified_name = o.qualified_name AND a.change = 'removed' JOIN new1 n ON n.kind = o.kind AND n.signature = o.signature AND n.path = o.path AND n.name = o.name || '_new' JOIN ch b ON b.qualified_name = n.qualified_name AND b.change = 'added'", _CH)
-def rename_candidates(g):
-    old, new = _snapshots(g)
-    ch = A.diff(old, new)
-    gone = old.join(ch.filter("change = 'removed'"), "qualified_name", "left_semi").select(*[F.col(c).alias(f"o_{c}") for c in old.columns])
-    come = new.join(ch.filter("change = 'added'"), "qualified_name", "left_semi")
-    # blocked on kind, signature and path, and on the name's stem
-    j = gone.join(come, (F.col("o_kind") == F.col("kind")) & (F.col("o_signature") == F.col("signature")) & (F.col("o_path") == F.col("path")) & (F.concat("o_name", F.lit("_new")) == F.col("name")))
-    score = A.rename_score(F.col("o_signature"), F.col("signature"), F.col("o_path"), F.col("path"), F.abs(F.col("o_start_line") - F.col("start_line")))
-    return j.select(F.col("o_qualified_name").alias("old_name"), F.col("qualified_name").alias("new_name"), F.round(score, 6).alias("score"))
-
-
-# The SQL's old snapshot is a part of the nodes; these take them all and have no SQL.
-
+_SIM = "CASE WHEN o.signature IS NULL AND n.signature IS NULL THEN 1.0 WHEN o.signature IS NULL OR n.signature IS NULL THEN 0.0 WHEN greatest(length(o.signature), length(n.signature)) = 0 THEN 1.0 ELSE 1 - levenshtein(o.signature, n.signature) * 1.0 / greatest(length(o.signature), length(n.signature)) END"
+_PLACE = "CASE WHEN o.path <> n.path THEN 0.7 WHEN abs(o.start_line - n.start_line) <= 50 THEN 1 - least(abs(o.start_line - n.start_line) / 100.0, 0.5) ELSE 0.3 END"
 
-@graph_query(None)
-def diff_changes_all(g):
-    return A.diff(*_snapshots(g, whole=True))
 
-
-@graph_query(None)
-def diff_summary_all(g):
-    return diff_changes_all(g).groupBy("change").agg(F.count("*").alias("n"))
-
-
-@graph_query(None)
-def rename_candidates_all(g):
-    """Renames to any name and place by score; the SQL of rename_candidates asks for the name's suffix."""
-    old, new = _snapshots(g, whole=True)
+@graph_query(f"SELECT old_name, new_name, round(score, 6) AS score FROM (SELECT o.qualified_name AS old_name, n.qualified_name AS new_name, {_SIM} AS sim, 0.7 * ({_SIM}) + 0.3 * ({_PLACE}) AS score FROM old1 o JOIN ch a ON a.qualified_name = o.qualified_name AND a.change = 'removed' JOIN new1 n ON n.kind = o.kind JOIN ch b ON b.qualified_name = n.qualified_name AND b.change = 'added') x WHERE sim >= 0.7 AND score >= 0.9", _CH)
+def rename_candidates(g):
+    """Renames to any name and place, by score alone."""
+    old, new = _snapshots(g)
     ch = A.diff(old, new)
     return A.renames(old.join(ch.filter("change = 'removed'"), "qualified_name", "left_semi"), new.join(ch.filter("change = 'added'"), "qualified_name", "left_semi"))
 
@@ -638,7 +546,7 @@ def health_score(spark, sf_dir):
     return h.select(F.round("h", 6).alias("health"), F.when(F.col("h") >= 0.9, "excellent").when(F.col("h") >= 0.7, "good").when(F.col("h") >= 0.5, "fair").when(F.col("h") >= 0.3, "poor").otherwise("critical").alias("label"))
 
 
-@graph_query("SELECT kind, is_async, CASE kind WHEN 'calls' THEN 'call' WHEN 'imports' THEN 'import' WHEN 'references' THEN 'reference' ELSE kind END AS class, CASE kind WHEN 'calls' THEN CASE WHEN is_async THEN 0.9 ELSE 1.0 END WHEN 'imports' THEN 0.95 WHEN 'references' THEN 0.8 WHEN 'inherits' THEN 0.95 WHEN 'implements' THEN 0.95 ELSE 1.0 END AS confidence, count(*) AS n FROM edges GROUP BY ALL")
+@graph_query("SELECT kind, is_async, CASE kind WHEN 'calls' THEN 'call' WHEN 'imports' THEN 'import' WHEN 'exports' THEN 'export' WHEN 'references' THEN 'reference' WHEN 'wraps' THEN 'reference' ELSE kind END AS class, CASE kind WHEN 'calls' THEN CASE WHEN is_async THEN 0.9 ELSE 1.0 END WHEN 'imports' THEN 0.95 WHEN 'references' THEN 0.8 WHEN 'inherits' THEN 0.95 WHEN 'implements' THEN 0.95 ELSE 1.0 END AS confidence, count(*) AS n FROM edges GROUP BY ALL")
 def edge_classes(g):
     k = F.col("kind")
     return g.edges.groupBy("kind", "is_async", X.edge_class(k).alias("class"), X.edge_confidence(k, F.col("is_async")).cast("decimal(3,2)").cast("double").alias("confidence")).agg(F.count("*").alias("n"))
@@ -703,8 +611,11 @@ def boolean_text(g):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import catalog_fields, catalog_reports  # noqa: F401  (they register theirs)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

@@ -52,6 +52,60 @@ def url_path(col: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r"\{([^}]*)\}", ":$1"), r"<(?:[^:>]*:)?([^>]*)>", ":$1"), r"\[([^\]]*)\]", ":$1")
 
 
+def relative_path(path: Column, root: str) -> Column:
+    """The path below ``root``; others stay as they are."""
+    return F.when(path.startswith(f"{root}/"), F.substr(path, F.lit(len(root) + 2))).otherwise(path)
+
+
+def redact(df, rules: dict[str, str]):
+    """Columns hidden, hashed, or without their numbers, as rules name them; other columns stay."""
+    how = {"hide": lambda c: F.lit(f"[{c}]"), "hash": F.md5, "numbers": lambda c: F.regexp_replace(c, "[0-9]+", "[number]")}
+    return df.withColumns({c: how[r](c) for c, r in rules.items()})
+
+
+def sort_fields(first: str) -> list[str]:
+    """A sort field with the fixed order of the others after it."""
+    ties = {"file": ["path", "start_line", "name", "kind"], "line": ["start_line", "path", "name", "kind"], "name": ["name", "path", "start_line", "kind"], "kind": ["kind", "name", "path", "start_line"]}
+    return [*ties[first], "id"]
+
+
+def query_kind(q: Column) -> Column:
+    """semantic, text or hybrid, by the marks that a query text has."""
+    semantic = r"(callers|callees|imports|exports|returns)[(:]|(impl|duplicates|unused|circular|kind|visibility|async|static):|scope\.|@|::"
+    text = r"TODO|FIXME|HACK|XXX|NOTE|BUG|^\^|\$\z|\\[bwdsWDS]|//|^#|/\*"
+    return F.when(q.rlike(semantic), "semantic").when(q.rlike(text), "text").otherwise("hybrid")
+
+
+def text_rank(line: Column, found: Column, number: Column, path: Column, depth: Column) -> Column:
+    """Rank of a lower-cased line with ``found`` matches: repeats, comments, code files, place and depth."""
+    more = F.when(found > 1, 2 * found).otherwise(0)
+    comment = F.when(F.ltrim(line).rlike(r"^(//|/\*|#)"), 1).otherwise(0)
+    code = F.when(path.rlike(r"(?i)\.(rs|py|ts|js)$"), 1).otherwise(0)
+    place = (1000 - F.least(number, F.lit(1000))) / 1000 * 2
+    deep = F.when(depth > 3, (depth - 3) * 0.5).otherwise(0)
+    return F.greatest(F.lit(0), 5 + more - comment + code + place - deep)
+
+
+def page(rows, cursor: str | None, size: int):
+    """The rows from a cursor (base64url of offset:N) on, and the next page's cursor."""
+    from base64 import urlsafe_b64decode, urlsafe_b64encode
+
+    start = 0
+    if cursor:
+        name, _, n = urlsafe_b64decode(cursor + "=" * (-len(cursor) % 4)).decode().partition(":")
+        if name != "offset" or not n.isdigit():
+            raise ValueError(f"bad cursor {cursor!r}")
+        start = int(n)
+    return rows.offset(start).limit(size), urlsafe_b64encode(f"offset:{start + size}".encode()).decode().rstrip("=")
+
+
+def week_range(week: Column) -> list[Column]:
+    """The first and last day of an ISO week such as 2024-W07."""
+    year, n = F.split_part(week, F.lit("-W"), F.lit(1)).cast("int"), F.split_part(week, F.lit("-W"), F.lit(2)).cast("int")
+    monday = F.date_add(F.trunc(F.make_date(year, F.lit(1), F.lit(4)), "week"), (n - 1) * 7)
+    return [monday.cast("string").alias("first_day"), F.date_add(monday, 6).cast("string").alias("last_day")]
+
+
 def jni_name(package: Column, method: Column) -> Column:
     mangled = F.regexp_replace(F.regexp_replace(package, "_", "_1"), r"\.", "_")
     return F.concat(F.lit("Java_"), mangled, F.lit("_"), F.regexp_replace(method, "_", "_1"))
@@ -67,8 +121,20 @@ def edge_confidence(kind: Column, is_async: Column, is_wildcard: Column | None =
     return F.when(kind == "calls", F.when(is_async, 0.9).otherwise(1.0)).when(kind == "imports", F.when(wild, 0.7).otherwise(0.95)).when(kind == "references", 0.8).when(kind.isin("inherits", "implements"), 0.95).otherwise(1.0)
 
 
-#: Edge kinds of each class; what is not named is its own class.
-CLASSES = {"call": ("calls",), "import": ("imports",), "export": ("exports",), "reference": ("references",), "type_of": ("type_of",), "database_access": ("db_query", "table_read", "table_write", "triggered_by"), "service_interaction": ("http_request", "grpc_call", "web_assembly_call", "ffi_call", "message_queue", "web_socket", "graphql_operation", "process_exec", "file_ipc", "protocol_call")}
+#: The edge kinds of each class.
+CLASSES = {
+    "call": ("calls", "trait_method_binding", "ffi_call", "http_request", "grpc_call", "web_assembly_call"),
+    "import": ("imports", "module_requires", "module_provides"),
+    "export": ("exports", "module_exports", "module_opens"),
+    "reference": ("references", "annotated_with", "annotation_param", "lambda_captures", "extension_receiver", "macro_expansion", "lifetime_constraint", "wraps"),
+    "inherits": ("inherits", "sealed_permit"),
+    "implements": ("implements",),
+    "contains": ("contains", "companion_of"),
+    "defines": ("defines",),
+    "type_of": ("type_of", "generic_bound", "type_argument"),
+    "database_access": ("db_query", "table_read", "table_write", "triggered_by"),
+    "service_interaction": ("message_queue", "web_socket", "graphql_operation", "process_exec", "file_ipc", "protocol_call"),
+}
 
 
 def edge_class(kind: Column) -> Column:

@@ -138,4 +138,22 @@ def renames(gone: DataFrame, come: DataFrame, least: float = 0.9) -> DataFrame:
     added = n.withColumnRenamed("n_signature", "t")
     j = sides.join(added, (F.col("o_kind") == F.col("n_kind")) & F.col("n_signature").eqNullSafe(F.col("t")))
     score = rename_score(F.col("o_signature"), F.col("n_signature"), F.col("o_path"), F.col("n_path"), F.abs(F.col("o_start_line") - F.col("n_start_line")))
-    return j.withColumn("score", score).filter(F.col("score") >= least).select(F.col("o_qualified_name").alias("old_name"), F.col("n_qualified_name").alias("new_name"), F.round("score", 6).alias("score"))
\ No newline at end of file
+    return j.withColumn("score", score).filter(F.col("score") >= least).select(F.col("o_qualified_name").alias("old_name"), F.col("n_qualified_name").alias("new_name"), F.round("score", 6).alias("score"))
+
+
+def replace_files(old: DataFrame, new: DataFrame, file: str) -> DataFrame:
+    """The rows of every file that ``new`` has are replaced by its own."""
+    files = new.select(F.col(file).alias("_file")).distinct()
+    return old.join(files, F.col(file) == F.col("_file"), "left_anti").unionByName(new)
+
+
+def compaction(changes: DataFrame, operations: int, tombstones: float) -> DataFrame:
+    """(operations, by_tombstones, by_operations): whether a change buffer is due for compaction."""
+    n, gone = F.count("*"), F.count_if(F.col("op") == "remove")
+    return changes.agg(n.alias("operations"), F.coalesce(gone / F.when(n > 0, n) > tombstones, F.lit(False)).alias("by_tombstones"), (n > operations).alias("by_operations"))
+
+
+def guarded(result: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` rows with a status: complete, or truncated where there are more."""
+    more = result.limit(most + 1).agg((F.count("*") > most).alias("_more"))
+    return result.limit(most).join(F.broadcast(more)).withColumn("status", F.when(F.col("_more"), "truncated").otherwise("complete")).drop("_more")

@@ -11,6 +11,12 @@ from ..project import Graph
 USES = ("calls", "references", "imports", "inherits", "implements", "type_of")
 
 
+def is_entry_point() -> Column:
+    """Public, named main, test_* or *_test, or of kind export or test."""
+    n = F.col("name")
+    return F.coalesce(F.col("visibility").isin("public", "pub") | (n == "main") | n.startswith("test_") | n.endswith("_test") | F.col("kind").isin("export", "test"), F.lit(False))
+
+
 def with_incoming(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(edges.select(F.col("dst").alias("id")), "id", "left_semi")
 
@@ -56,6 +62,34 @@ def edge_join(g: Graph, left: DataFrame, right: DataFrame, *kinds: str) -> DataF
     return e.join(left.select(F.col("id").alias("src")), "src", "left_semi").join(right.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("left_id"), F.col("dst").alias("right_id"))
 
 
+def inside(g: Graph, nodes: DataFrame, scope: Column) -> DataFrame:
+    """The nodes whose enclosing node, which contains them, is such a scope."""
+    e = g.of("contains").join(g.nodes.filter(scope).select(F.col("id").alias("src")), "src", "left_semi")
+    return with_incoming(nodes, e)
+
+
+def returning(g: Graph, nodes: DataFrame, name: str) -> DataFrame:
+    """The nodes with a return type of exactly this name."""
+    e = g.of("type_of").filter("context = 'return'").join(g.nodes.filter(F.col("name") == name).select(F.col("id").alias("dst")), "dst", "left_semi")
+    return with_outgoing(nodes, e)
+
+
+def cfg_flags(cfg: Column) -> Column:
+    """The flags of a condition, sorted: of ``all(a, b)`` a and b, of a bare one itself."""
+    return F.sort_array(F.transform(F.split(F.regexp_replace(cfg, r"^(all|any|not)\((.*)\)$", "$2"), ","), lambda x: F.trim(x)))
+
+
+def cfg_matches(cfg: Column, asked: str) -> Column:
+    """One flag: is among them and not under not(). A compound: the same operator over the same set. Quoted: the same bytes."""
+    if asked.startswith('"'):
+        return cfg == asked.strip('"')
+    if "(" not in asked:
+        return F.array_contains(cfg_flags(cfg), asked) & ~cfg.startswith("not(")
+    op = asked[: asked.index("(")]
+    want = sorted(x.strip() for x in asked[len(op) + 1 : -1].split(","))
+    return cfg.startswith(f"{op}(") & (F.array_distinct(cfg_flags(cfg)) == F.array(*[F.lit(x) for x in dict.fromkeys(want)]))
+
+
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("id").unionByName(b.select("id")).distinct()
 

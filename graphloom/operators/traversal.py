@@ -15,11 +15,13 @@ def _directed(edges: DataFrame, direction: str) -> DataFrame:
     return {"forward": out, "reverse": back, "both": out.unionByName(back)}[direction]
 
 
-def levels(seeds: DataFrame, edges: DataFrame, depth: int, direction: str = "forward") -> DataFrame:
-    """(id, level): every node within ``depth`` hops with its least level; seeds have 0."""
+def levels(seeds: DataFrame, edges: DataFrame, depth: int | None, direction: str = "forward") -> DataFrame:
+    """(id, level): every node within ``depth`` hops (None: all reachable) with its least level; seeds have 0."""
     step = _directed(edges, direction)
     seen = frontier = seeds.select("id").distinct().withColumn("level", F.lit(0))
-    for k in range(1, depth + 1):
+    k = 0
+    while depth is None or k < depth:
+        k += 1
         reached = frontier.select(F.col("id").alias("src")).join(step, "src").select(F.col("dst").alias("id")).distinct()
         frontier = cut(reached.join(seen.select("id"), "id", "left_anti").withColumn("level", F.lit(k)))
         if frontier.isEmpty():
@@ -34,9 +36,9 @@ def traverse(seeds: DataFrame, edges: DataFrame, depth: int, direction: str = "f
     return found.select("id") if include_seeds else found.filter("level > 0").select("id")
 
 
-def closure(seeds: DataFrame, edges: DataFrame, direction: str = "forward", most: int = 10_000) -> DataFrame:
-    """Everything reachable, seeds included."""
-    return levels(seeds, edges, most, direction).select("id")
+def closure(seeds: DataFrame, edges: DataFrame, direction: str = "forward") -> DataFrame:
+    """Everything reachable, seeds included; hops go on until none is new."""
+    return levels(seeds, edges, None, direction).select("id")
 
 
 def least_labels(nodes: DataFrame, edges: DataFrame, most: int = 200) -> DataFrame:
@@ -94,6 +96,12 @@ def scc(edges: DataFrame, most: int = 200) -> DataFrame:
     return reduce(DataFrame.unionByName, done) if done else left.withColumn("component", F.col("id"))
 
 
+def condense(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(src, dst): the edges between different components."""
+    j = edges.join(labels.select(F.col("id").alias("src"), F.col("component").alias("a")), "src").join(labels.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst")
+    return j.filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+
+
 def cycles(edges: DataFrame, least: int = 2, most: int | None = None, self_loops: bool = False, labels: DataFrame | None = None) -> DataFrame:
     """(component, size) of the strongly connected components within the size bounds."""
     sizes = (scc(edges) if labels is None else labels).groupBy("component").agg(F.count("*").alias("size"))

@@ -54,10 +54,15 @@ def format_plan(plan: tuple[Clause, ...]) -> str:
     return " ".join(map(str, plan))
 
 
+def _regex(col, value: str):
+    """A match of /pattern/flags."""
+    body, flags = re.fullmatch(r"/(.*)/([ims]*)", value).groups()
+    return col.rlike(f"(?{flags}){body}" if flags else body)
+
+
 def _matching(g: Graph, c: Clause) -> DataFrame:
     if c.op == "~=":
-        body, flags = re.fullmatch(r"/(.*)/([ims]*)", c.value).groups()
-        return g.nodes.filter(F.col("name").rlike(f"(?{flags}){body}" if flags else body))
+        return g.nodes.filter(_regex(F.col("name"), c.value))
     return g.nodes.filter(R.name_matches(F.col("name"), c.value.strip('"')))
 
 
@@ -66,7 +71,21 @@ def apply(g: Graph, nodes: DataFrame, c: Clause) -> DataFrame:
     if f in ("kind", "visibility", "lang"):
         return nodes.filter(F.coalesce(F.col(f) == v, F.lit(False)))
     if f == "name":
-        return nodes.filter(F.col("name").rlike(v.strip("/")) if c.op == "~=" else R.name_matches(F.col("name"), v))
+        return nodes.filter(_regex(F.col("name"), c.value) if c.op == "~=" else R.name_matches(F.col("name"), v))
+    if f in ("address_taken", "callsite_promiscuous", "is_definition", "is_unsafe"):
+        if f not in nodes.columns:
+            raise PlanError(f"the snapshot does not record {f}")
+        return nodes.filter(F.coalesce(F.col(f), F.lit(False)) == (v != "false"))
+    if f == "framework":
+        return nodes.filter(F.col("framework") == v)
+    if f == "scope":
+        return R.inside(g, nodes, F.col("kind") == v)
+    if f == "returns":
+        return R.returning(g, nodes, v)
+    if f == "cfg":
+        return nodes.filter(R.cfg_matches(F.col("cfg"), c.value))
+    if f == "wraps":
+        return R.with_outgoing(nodes, g.of("wraps").filter((F.col("context") == v) if v not in ("", "true") else F.lit(True)))
     if f == "in":
         return nodes.filter(F.col("path").rlike(R.glob(v)))
     if f == "async":

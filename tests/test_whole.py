@@ -47,15 +47,15 @@ def test_scc_queries_take_every_call(small):
     size = {c: sum(x == c for x in label.values()) for c in label.values()}
     assert len({*size.values()}) > 1
     assert any(n > 1 and c < 7_000_000_000 for c, n in size.items())
-    assert rows(catalog.scc_labels_all(g), "id", "component") == sorted(label.items())
-    assert rows(catalog.cycles_bounded_all(g), "component", "size") == sorted((c, n) for c, n in size.items() if n > 1)
-    assert rows(catalog.is_in_cycle_all(g), "id", "in_cycle") == sorted((i, size[c] > 1) for i, c in label.items())
-    assert rows(catalog.condensation_all(g), "src", "dst") == sorted({(label[a], label[b]) for a, b in calls if label[a] != label[b]})
+    assert rows(catalog.scc_labels(g), "id", "component") == sorted(label.items())
+    assert rows(catalog.cycles_bounded(g), "component", "size") == sorted((c, n) for c, n in size.items() if n > 1)
+    assert rows(catalog.is_in_cycle(g), "id", "in_cycle") == sorted((i, size[c] > 1) for i, c in label.items())
+    assert rows(catalog.condensation(g), "src", "dst") == sorted({(label[a], label[b]) for a, b in calls if label[a] != label[b]})
 
 
 def test_components_take_every_node(small):
     g, _, contains = small
-    assert rows(catalog.components_all(g), "id", "component") == sorted((i, min(r)) for i, r in reach(contains, both=True).items())
+    assert rows(catalog.components(g), "id", "component") == sorted((i, min(r)) for i, r in reach(contains, both=True).items())
 
 
 def test_scc_raises_when_it_does_not_settle(spark):
@@ -108,8 +108,8 @@ def test_diff_takes_every_node(spark):
                 want[f"q{i}_new"] = "added"
         elif i % 89 == 0 or i % 83 == 0:
             want[f"q{i}"] = "signature_changed" if i % 89 == 0 else "modified"
-    assert rows(catalog.diff_changes_all(g), "qualified_name", "change") == sorted(want.items())
-    assert rows(catalog.diff_summary_all(g), "change", "n") == sorted((c, [*want.values()].count(c)) for c in {*want.values()})
+    assert rows(catalog.diff_changes(g), "qualified_name", "change") == sorted(want.items())
+    assert rows(catalog.diff_summary(g), "change", "n") == sorted((c, [*want.values()].count(c)) for c in {*want.values()})
     kind = {f"q{i}": k for i, k in nodes} | {f"q{i}_new": k for i, k in nodes}
     pairs = [(a, b) for a, x in want.items() if x == "removed" for b, y in want.items() if y == "added" and kind[a] == kind[b]]
-    assert rows(catalog.rename_candidates_all(g), "old_name", "new_name") == sorted(pairs)
+    assert rows(catalog.rename_candidates(g), "old_name", "new_name") == sorted(pairs)
