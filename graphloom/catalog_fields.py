@@ -96,9 +96,9 @@ def field_repo(g):
     return run_boolean(g, "repo:ASIA")
 
 
-@graph_query("SELECT DISTINCT dst AS id FROM edges JOIN nodes p ON p.id = src WHERE edges.kind = 'contains' AND p.name = 'CHINA'")
+@graph_query("SELECT DISTINCT dst AS id FROM edges JOIN nodes p ON p.id = src WHERE edges.kind = 'contains' AND p.name = 'NATION_12'")
 def field_parent(g):
-    return run_boolean(g, "parent:CHINA")
+    return run_boolean(g, "parent:NATION_12")
 
 
 @graph_query("SELECT id FROM r WHERE top IN (SELECT id FROM nodes WHERE name = 'ASIA') AND id <> top", "r(id, top) AS (SELECT id, id FROM nodes WHERE name = 'ASIA' UNION SELECT dst, top FROM r JOIN edges ON src = id WHERE kind = 'contains')")
@@ -121,9 +121,9 @@ def field_duplicates(g):
     return run_boolean(g, "duplicates:body")
 
 
-@graph_query("SELECT id FROM nodes n WHERE kind = 'struct' AND NOT EXISTS (SELECT 1 FROM edges WHERE dst = n.id AND kind IN ('calls','references','imports','inherits','implements','type_of'))")
+@graph_query("SELECT id FROM nodes n WHERE kind = 'function' AND NOT EXISTS (SELECT 1 FROM edges WHERE dst = n.id AND kind IN ('calls','references','imports','inherits','implements','type_of'))")
 def field_unused(g):
-    return run_boolean(g, "kind:struct AND unused:true")
+    return run_boolean(g, "kind:function AND unused:true")
 
 
 @graph_query("SELECT id FROM nodes WHERE id IN (SELECT src FROM edges WHERE kind = 'calls' AND dst IN (SELECT id FROM nodes WHERE kind = 'function' AND visibility = 'private' AND id IN (SELECT dst FROM edges WHERE kind = 'imports')))")

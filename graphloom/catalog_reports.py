@@ -298,17 +298,17 @@ def rule_cycles(g):
     return P.run_rule(g, P.Rule("cycles", "cycle_witness", "error"))
 
 
-@graph_query("SELECT DISTINCT 'near' AS rule, 'info' AS severity, src AS id, dst AS witness FROM edges WHERE kind = 'contains' AND src IN (SELECT id FROM m) AND dst IN (SELECT id FROM m)", "m AS (SELECT id FROM nodes WHERE kind = 'class' AND name = 'CHINA' UNION SELECT dst FROM edges JOIN nodes n ON n.id = src WHERE edges.kind = 'contains' AND n.kind = 'class' AND n.name = 'CHINA' UNION SELECT src FROM edges JOIN nodes n ON n.id = dst WHERE edges.kind = 'contains' AND n.kind = 'class' AND n.name = 'CHINA')")
+@graph_query("SELECT DISTINCT 'near' AS rule, 'info' AS severity, src AS id, dst AS witness FROM edges WHERE kind = 'contains' AND src IN (SELECT id FROM m) AND dst IN (SELECT id FROM m)", "m AS (SELECT id FROM nodes WHERE kind = 'class' AND name = 'NATION_12' UNION SELECT dst FROM edges JOIN nodes n ON n.id = src WHERE edges.kind = 'contains' AND n.kind = 'class' AND n.name = 'NATION_12' UNION SELECT src FROM edges JOIN nodes n ON n.id = dst WHERE edges.kind = 'contains' AND n.kind = 'class' AND n.name = 'NATION_12')")
 def rule_subgraph(g):
-    return P.run_rule(g, P.Rule("near", "subgraph", args={"from": "kind:class name:CHINA", "kinds": ["contains"]}))
+    return P.run_rule(g, P.Rule("near", "subgraph", args={"from": "kind:class name:NATION_12", "kinds": ["contains"]}))
 
 
 # ---- upkeep and streams
 
-@graph_query("SELECT id, name FROM nodes WHERE path <> 'ASIA/CHINA' OR path IS NULL UNION ALL SELECT id + 500000, name || '_again' FROM nodes WHERE path = 'ASIA/CHINA'")
+@graph_query("SELECT id, name FROM nodes WHERE path <> 'ASIA/NATION_12' OR path IS NULL UNION ALL SELECT id + 500000, name || '_again' FROM nodes WHERE path = 'ASIA/NATION_12'")
 def replace_file(g):
     """A file's nodes go and the new ones of the file come."""
-    new = g.nodes.filter("path = 'ASIA/CHINA'").select((F.col("id") + 500_000).alias("id"), F.concat("name", F.lit("_again")).alias("name"), "path")
+    new = g.nodes.filter("path = 'ASIA/NATION_12'").select((F.col("id") + 500_000).alias("id"), F.concat("name", F.lit("_again")).alias("name"), "path")
     return A.replace_files(g.nodes.select("id", "name", "path"), new, "path").select("id", "name")
 
 
