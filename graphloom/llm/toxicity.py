@@ -74,8 +74,11 @@ class Vocabulary(dict):
         return ids, lengths
 
 
-def hashed(types: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Word slots, and n-gram slots (-1: none) of each token; ^ and $ mark its ends."""
+def hashed(types: list[bytes], most: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+    """Word slots, and n-gram slots (-1: none) of each token; ^ and $ mark its ends. ``most`` tokens at a time."""
+    if len(types) > most:
+        word, grams = zip(*(hashed(types[i : i + most]) for i in range(0, len(types), most)), strict=True)
+        return np.concatenate(word), np.concatenate(grams)
     word = np.fromiter((xxhash.xxh32_intdigest(t) & ((1 << WORD_BITS) - 1) for t in types), np.int64, len(types))
     width = PIECE + 2
     raw = np.frombuffer(b"".join((b"^" + t + b"$").ljust(width, b"\0") for t in types), np.uint8).reshape(-1, width).astype(np.uint32)
@@ -107,6 +110,11 @@ class Network:
         d = DW + DC
         return Network({"word": g(1 << WORD_BITS, DW, k=0.05), "gram": g((1 << GRAM_BITS) + 1, DC, k=0.05), "wx": g(2, d, 3 * H), "wh": g(2, H, 3 * H), "b": np.zeros((2, 1, 3 * H), np.float32), "wa": g(2 * H, A), "ba": np.zeros(A, np.float32), "va": g(A), "wo": g(2 * H), "bo": np.zeros(1, np.float32)})
 
+    def inputs(self, word: np.ndarray, grams: np.ndarray, most: int = 2000) -> np.ndarray:
+        """The inputs of many token types, ``most`` at a time."""
+        parts = [self.vectors(word[i : i + most], grams[i : i + most])[0] for i in range(0, len(word), most)]
+        return np.concatenate([np.zeros((0, DW + DC), np.float32), *parts])
+
     def vectors(self, word: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The inputs of token types, and which n-gram gave each maximum."""
         g = self.p["gram"][grams]  # -1 is the last row, kept far below
@@ -186,6 +194,21 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (np.cumsum(lengths) - lengths)[doc] + inner, np.minimum(WINDOW, lengths[doc] - inner), doc
 
 
+def window_logits(net: Network, x: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logit and document of all windows of texts laid end to end, from the inputs ``x`` of their token types."""
+    start, size, doc = windows(lengths)
+    out = np.empty(len(start), np.float32)
+    order = np.argsort(size, kind="stable")
+    for i in range(0, len(order), 1024):
+        some = order[i : i + 1024]
+        at = np.arange(int(size[some].max()))
+        mask = at < size[some][:, None]
+        picked = ids[np.minimum(start[some][:, None] + at, len(ids) - 1)]
+        used, local = np.unique(picked, return_inverse=True)
+        out[some] = net.forward(x[used], local.reshape(picked.shape), mask)[0]
+    return out, doc
+
+
 class Scorer:
     """Scores texts in groups of about ``budget`` bytes; keeps the vectors of known tokens."""
 
@@ -215,18 +238,8 @@ class Scorer:
         ids, lengths = self.words.read(texts)
         if len(self.words.types) > len(self.x):
             new = list(self.words.types)[len(self.x) :]
-            self.x = np.concatenate([self.x, *(self.net.vectors(*hashed(new[i : i + 20_000]))[0] for i in range(0, len(new), 20_000))])
-        start, size, doc = windows(lengths)
-        out = np.empty(len(start), np.float32)
-        order = np.argsort(size, kind="stable")
-        for i in range(0, len(order), 1024):
-            some = order[i : i + 1024]
-            at = np.arange(int(size[some].max()))
-            mask = at < size[some][:, None]
-            picked = ids[np.minimum(start[some][:, None] + at, len(ids) - 1)]
-            used, local = np.unique(picked, return_inverse=True)
-            out[some] = self.net.forward(self.x[used], local.reshape(picked.shape), mask)[0]
-        return out, doc
+            self.x = np.concatenate([self.x, self.net.inputs(*hashed(new))])
+        return window_logits(self.net, self.x, ids, lengths)
 
     def _group(self, texts: list[str]) -> np.ndarray:
         logit, doc = self.logits(texts)
@@ -255,7 +268,10 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 3, batch: int = 128, pe
         return net
     vocabulary = Vocabulary()
     flat, lengths = vocabulary.read(texts)
-    word, grams = hashed(list(vocabulary.types))
+    types = list(vocabulary.types)
+    del vocabulary
+    word, grams = hashed(types)
+    del types
     seen = {"word": np.zeros((2, 1 << WORD_BITS)), "gram": np.zeros((2, (1 << GRAM_BITS) + 1))}
     for own, k in zip(np.split(flat, np.cumsum(lengths)[:-1]), y, strict=True):
         own = np.unique(own)
@@ -284,12 +300,10 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 3, batch: int = 128, pe
         v[rows] = 0.99 * v[rows] + 0.01 * grad * grad
         net.p[key][rows] -= rate * (m[rows] / (1 - 0.9**step)) / (np.sqrt(v[rows] / (1 - 0.99**step)) + 1e-6)
 
-    scorer = Scorer(net)
     epochs = max(epochs, min(30, -(-STEPS // max(1, len(choose(logit, doc, y, per_text, r)) // batch))))
     for epoch in range(epochs):
         if epoch:
-            scorer._clear()
-            logit, _ = scorer.logits(texts)
+            logit, _ = window_logits(net, net.inputs(word, grams), flat, lengths)
         order = r.permutation(choose(logit, doc, y, per_text, r))
         for i in range(0, len(order), batch):
             some = order[i : i + batch]
@@ -316,8 +330,7 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 3, batch: int = 128, pe
                 np.add.at(gg[:, c], gi[:, c], dx[:, DW + c])
             adam("gram", slot, gg * known["gram"][slot, None], 0.003)
             net.p["gram"][-1] = -4
-    scorer._clear()
-    logit, docs = scorer.logits(texts)
+    logit, docs = window_logits(net, net.inputs(word, grams), flat, lengths)
     net.head = logistic(summaries(logit, docs, len(texts)), y)
     return net
 
