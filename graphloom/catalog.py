@@ -611,7 +611,7 @@ def boolean_text(g):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import catalog_fields, catalog_reports  # noqa: F401  (they register theirs)
+    from . import catalog_fields, catalog_links, catalog_reports  # noqa: F401  (they register theirs)
 
     return dict(QUERIES)
 
