@@ -22,7 +22,7 @@ def plain(v):
     return round(float(v), 5) if isinstance(v, float) or type(v).__name__ == "Decimal" else v
 
 
-@pytest.mark.parametrize("name", sorted(catalog.SQL))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query(spark, con, name):
     df = catalog.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
