@@ -7,7 +7,41 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import cut
+from ..core import cut, cut_placed, dealt
+
+#: Hops that read the edges as they are; a walk that goes on keeps them by source from there.
+PLAIN = 3
+#: A source with fewer edges than this is never split.
+HUB = 10_000
+
+
+class Hops:
+    """Edges kept by source for a walk of many hops: a hop shuffles what it reaches, and no edges.
+
+    A source with more than its share of the edges (one of as many parts as the session shuffles
+    into) would fill a task at every hop. There are fewer such sources than parts, so they are
+    broadcast; their edges lie dealt by target.
+    """
+
+    def __init__(self, step: DataFrame) -> None:
+        parts = int(step.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        counts = cut(step.groupBy("src").agg(F.count("*").alias("n")))
+        share = (counts.agg(F.sum("n")).first()[0] or 0) / parts
+        self.hubs = cut(counts.filter(F.col("n") > max(share, HUB)).select("src"))
+        self.split = not self.hubs.isEmpty()
+        if self.split:
+            self.wide = dealt(step.join(F.broadcast(self.hubs), "src", "left_semi"), "dst")
+            step = step.join(F.broadcast(self.hubs), "src", "left_anti")
+        self.narrow = dealt(step, "src")
+
+    def follow(self, now: DataFrame) -> DataFrame:
+        """The edges whose source is a ``src`` of ``now``, which has each once, with the other columns of ``now``."""
+        found = now.hint("shuffle_merge").join(self.narrow, "src")
+        if self.split:
+            met = now.join(F.broadcast(self.hubs), "src", "left_semi")
+            found = found.unionByName(F.broadcast(met).join(self.wide, "src"))
+        return found
+
 
 def _directed(edges: DataFrame, direction: str) -> DataFrame:
     out = edges.select("src", "dst")
@@ -18,12 +52,16 @@ def _directed(edges: DataFrame, direction: str) -> DataFrame:
 def levels(seeds: DataFrame, edges: DataFrame, depth: int | None, direction: str = "forward") -> DataFrame:
     """(id, level): every node within ``depth`` hops (None: all reachable) with its least level; seeds have 0."""
     step = _directed(edges, direction)
+    hops, keep = None, cut
     seen = frontier = seeds.select("id").distinct().withColumn("level", F.lit(0))
     k = 0
     while depth is None or k < depth:
         k += 1
-        reached = frontier.select(F.col("id").alias("src")).join(step, "src").select(F.col("dst").alias("id")).distinct()
-        frontier = cut(reached.join(seen.select("id"), "id", "left_anti").withColumn("level", F.lit(k)))
+        if k == PLAIN + 1:
+            hops, keep, seen, frontier = Hops(step), cut_placed, dealt(seen, "id"), dealt(frontier, "id")
+        start = frontier.select(F.col("id").alias("src"))
+        reached = (hops.follow(start) if hops else start.join(step, "src")).select(F.col("dst").alias("id")).distinct()
+        frontier = keep(reached.join(seen.select("id"), "id", "left_anti").withColumn("level", F.lit(k)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -43,9 +81,13 @@ def closure(seeds: DataFrame, edges: DataFrame, direction: str = "forward") -> D
 
 def least_labels(nodes: DataFrame, edges: DataFrame, most: int = 200) -> DataFrame:
     """(id, label): the smallest id among a node and all that reach it. Labels move along edges and jump over labels."""
+    hops, step = None, edges.select("src", "dst")
     now = cut(nodes.select("id").withColumn("label", F.col("id")))
-    for _ in range(most):
-        come = edges.select("src", F.col("dst").alias("id")).join(now.select(F.col("id").alias("src"), "label"), "src").groupBy("id").agg(F.min("label").alias("new"))
+    for k in range(most):
+        if k == PLAIN:
+            hops = Hops(step)
+        start = now.select(F.col("id").alias("src"), "label")
+        come = (hops.follow(start) if hops else start.join(step, "src")).groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("new"))
         nxt = now.join(come, "id", "left").select("id", F.least("label", F.coalesce("new", "label")).alias("label"), (F.col("new") < F.col("label")).alias("moved"))
         jump = nxt.select(F.col("id").alias("label"), F.col("label").alias("far"))
         nxt = cut(nxt.join(jump, "label", "left").select("id", F.least("label", F.coalesce("far", "label")).alias("label"), "moved"))

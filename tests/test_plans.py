@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.core import cut_placed, dealt
 from graphloom.functions import scalars as X
 from graphloom.operators import analytics as A
 from graphloom.operators import reports as P
@@ -73,6 +74,45 @@ def test_long_chains(spark):
     assert {r.id: (r.out_calls, r.chain) for r in P.hotspots(lab, ring, lab).collect()} == {0: (1, 1), 1: (2, 1)}
 
 
+@pytest.mark.parametrize(("plain", "hub"), [(0, 3), (1, 3), (0, 10_000), (2, 10_000)])
+def test_kept_edges(spark, monkeypatch, plain, hub):
+    """A walk over kept edges, with and without split sources, finds what a plain one does."""
+    monkeypatch.setattr(T, "PLAIN", plain)
+    monkeypatch.setattr(T, "HUB", hub)
+    # 0 and 7 head most edges; 50 to 58 are a chain, 90 and 91 a part of its own
+    pairs = [(0, i) for i in range(1, 30)] + [(7, i) for i in range(20, 51)] + [(i, i + 1) for i in range(50, 58)] + [(58, 0), (7, 7), (3, 7), (3, 7), (90, 91)]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    if hub == 3:
+        hops = T.Hops(edges)
+        assert hops.split and {r.src for r in hops.hubs.collect()} == {0, 7}
+    for start, way in ((0, "forward"), (57, "forward"), (29, "reverse"), (90, "both"), (1000, "both")):
+        step = {"forward": pairs, "reverse": [p[::-1] for p in pairs], "both": pairs + [p[::-1] for p in pairs]}[way]
+        want, front, k = {start: 0}, {start}, 0
+        while front:
+            k += 1
+            front = {b for a, b in step if a in front} - set(want)
+            want |= dict.fromkeys(front, k)
+        got = T.levels(spark.range(start, start + 1), edges, None, way).collect()
+        assert len(got) == len(want) and {r.id: r.level for r in got} == want
+    nodes = spark.createDataFrame([(i,) for i in {x for p in pairs for x in p} | {1000}], "id long")
+    assert {r.id: r.component for r in T.components(nodes, edges).collect()} == {r.id: 90 if r.id in (90, 91) else 1000 if r.id == 1000 else 0 for r in nodes.collect()}
+    assert T.closure(spark.range(0), edges).isEmpty() and T.closure(spark.range(5, 6), edges.limit(0)).count() == 1
+
+
+def test_kept_edges_are_not_shuffled(spark):
+    """Two hops over kept edges, the second against all that was seen: its plan shuffles what is reached and nothing else."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = spark.range(5000).selectExpr("id % 997 as src", "id as dst")
+        hops, seen = T.Hops(edges), dealt(spark.range(20), "id")
+        reach = lambda now: hops.follow(now.select(F.col("id").alias("src"))).select(F.col("dst").alias("id")).distinct()
+        first = cut_placed(reach(seen).join(seen, "id", "left_anti"))
+        plan = reach(first).join(seen.unionByName(first), "id", "left_anti")._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        assert plan.count("Exchange") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_sketches(spark):
     rows = [(i, "same", [f"t{k}" for k in range(30)]) for i in range(8)] + [(100 + i, f"h{i}", [f"t{k}" for k in range(27)] + [f"u{i}_{k}" for k in range(3)]) for i in range(2)] + [(200 + i, f"s{i}", [f"v{i}_{k}" for k in range(20)]) for i in range(60)]
     s = spark.createDataFrame(rows, "id long, hash string, tokens array<string>").select("id", "hash", P.sketch(F.col("tokens")).alias("lanes"))
