@@ -87,6 +87,7 @@ RING = {
     "scc_labels": (["id", "component"], sorted(LABEL.items()), 60),
     "call_chain_depth": (["id", "chain"], [(i, max(0, min(20, 150 - max(i, 120)))) for i in range(1, 152)], 200),
     "condensation": (["src", "dst"], [(1, 121)] + [(i, i + 1) for i in range(121, 150)], 60),
+    "cycles_bounded": (["component", "size"], [(1, 120)], 60),
 }
 
 
