@@ -89,6 +89,7 @@ RING = {
     "condensation": (["src", "dst"], [(1, 121)] + [(i, i + 1) for i in range(121, 150)], 60),
     "cycles_bounded": (["component", "size"], [(1, 120)], 60),
     "hotspots": (["id", "out_calls", "chain"], [(i, 1 + (i == 120), min(20, 150 - max(i, 120))) for i in range(1, 150)], 200),
+    "is_in_cycle": (["id", "in_cycle"], [(i, i <= 120) for i in range(1, 152)], 60),
 }
 
 
