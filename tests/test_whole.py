@@ -90,6 +90,7 @@ RING = {
     "cycles_bounded": (["component", "size"], [(1, 120)], 60),
     "hotspots": (["id", "out_calls", "chain"], [(i, 1 + (i == 120), min(20, 150 - max(i, 120))) for i in range(1, 150)], 200),
     "is_in_cycle": (["id", "in_cycle"], [(i, i <= 120) for i in range(1, 152)], 60),
+    "rule_cycles": (["id", "witness"], [(i, 1) for i in range(1, 121)], 60),
 }
 
 
