@@ -162,3 +162,12 @@ def test_diff_takes_every_node(spark):
     kind = {f"q{i}": k for i, k in nodes} | {f"q{i}_new": k for i, k in nodes}
     pairs = [(a, b) for a, x in want.items() if x == "removed" for b, y in want.items() if y == "added" and kind[a] == kind[b]]
     assert rows(catalog.rename_candidates(g), "old_name", "new_name") == sorted(pairs)
+
+
+def test_renames_of_one_signature_are_paired_by_many_tasks(spark):
+    """A large group without signatures: every pair comes, and no task makes most of them."""
+    gone, come = (spark.range(n).selectExpr(f"concat('{p}', id) as qualified_name", "'function' as kind", "cast(null as string) as signature", f"concat('{p}', id % 3) as path", "id as start_line") for p, n in (("old", 1000), ("new", 40)))
+    found = A.renames(gone, come)
+    tasks = [r[0] for r in found.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(tasks) == 40_000 and found.distinct().count() == 40_000
+    assert max(tasks) < 30_000
