@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
 import re
 import tempfile
@@ -47,6 +50,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release() -> None:
+    """Gives memory that this process has freed back to the system, where the C library can."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def gathered(df: DataFrame, rows: int) -> DataFrame:
     """A checkpoint read in tasks of about ``rows`` rows, so that small tables don't make many small shuffle files."""
     done = cut(df)

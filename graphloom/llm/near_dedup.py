@@ -305,10 +305,11 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
             found = joined_up(new)
         tried = tried.unionByName(more)
     open_ = still_apart()
-    more = gathered(prefix_pairs(open_.select("node", "n", "component").distinct(), verify.sets, percent).join(tried, ["u", "v"], "left_anti"), PAIRS)
-    new = verify(more)
-    if not new.isEmpty():
-        found = joined_up(new)
+    if not open_.isEmpty():
+        more = gathered(prefix_pairs(open_.select("node", "n", "component").distinct(), verify.sets, percent).join(tried, ["u", "v"], "left_anti"), PAIRS)
+        new = None if more.isEmpty() else verify(more)
+        if new is not None and not new.isEmpty():
+            found = joined_up(new)
 
     grouped = classes.join(found, "node", "left").withColumn("group", F.coalesce("component", "node"))
     least = cut(grouped.groupBy("group").agg(F.min("first").alias("component_id"), F.count("*").alias("_in")))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out_third, whole_text
+from .common import held_out_third, release, whole_text
 
 WINDOW, STRIDE = 64, 48
 PIECE = 24  # bytes of a token; longer words are several tokens
@@ -389,7 +389,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1000, seed
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).join(F.broadcast(ids), "doc_id")
     rows = found.select("doc_id", "y", "text").mapInArrow(cut_down, "doc_id long, y int, text string").distinct().collect()
     rows.sort(key=lambda r: (r.doc_id, r.y, r.text))
-    return train([r.text for r in rows], np.array([r.y for r in rows], int))
+    net = train([r.text for r in rows], np.array([r.y for r in rows], int))
+    # the driver's Python would keep what training freed beside the stages that follow
+    del rows
+    release()
+    return net
 
 
 def score_toxicity(docs: DataFrame, net: Network, out: str = "score") -> DataFrame:

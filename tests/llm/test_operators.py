@@ -537,3 +537,21 @@ def test_dedup_stages_keep_one_row_of_a_group(spark):
     texts = [r.text for r in out]
     assert len(texts) == 4 and a in texts and "x y z" in texts
     assert sum(t.startswith("b0") for t in texts) == sum(t.startswith("c0") for t in texts) == 1
+
+
+def test_near_dedup_skips_the_last_search_when_no_bucket_is_open(spark, monkeypatch):
+    def searched(*_):
+        raise AssertionError("searched by prefixes")
+
+    monkeypatch.setattr("graphloom.llm.near_dedup.prefix_pairs", searched)
+    a, b = (" ".join(f"{p}{i}" for i in range(60)) for p in "ab")
+    got = near_dedup(spark.createDataFrame([(1, a), (2, a + " tail"), (3, b)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3}
+
+
+def test_training_gives_its_memory_back(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr("graphloom.llm.toxicity.release", lambda: calls.append(1))
+    docs = spark.createDataFrame([(i, "bad word" if i % 2 else "good word") for i in range(20)], "doc_id long, text string")
+    fit_toxicity(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")))
+    assert calls == [1]
