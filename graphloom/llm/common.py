@@ -50,17 +50,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release() -> None:
-    """Gives memory that this process has freed back to the system, where the C library can."""
+def release(spark: SparkSession | None = None) -> None:
+    """Gives memory that this process has freed back to the system, where the C library can; with ``spark``, the driver's JVM too.
+
+    A loop of small plans fills the JVM's heap with plans and relations that nothing uses any more.
+    Checkpoints and broadcasts among them go with them.
+    """
     gc.collect()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
+    if spark is not None:
+        spark.sparkContext._jvm.System.gc()
 
 
 def gathered(df: DataFrame, rows: int) -> DataFrame:
     """A checkpoint read in tasks of about ``rows`` rows, so that small tables don't make many small shuffle files."""
     done = cut(df)
-    return done.coalesce(max(1, -(-done.count() // rows)))
+    # counted as it lies, without a plan of its own
+    return done.coalesce(max(1, -(-done._jdf.queryExecution().toRdd().count() // rows)))
 
 
 def whole_text(col: str = "text") -> Column:

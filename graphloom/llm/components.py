@@ -50,13 +50,13 @@ def _small(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, most: int = 60, links_per_task: int = 500_000) -> DataFrame:
-    """node, component (its smallest node) for all nodes of ``links`` (u, v: long).
+    """node, component (its smallest node) for all nodes of ``links`` (u, v: long), which are read again and so should be cheap to read.
 
     Each task joins up to about ``links_per_task`` links by union-find. Where that takes several
     tasks, rounds of stars follow, each of which makes every node point to smaller ones; the links
     end as stars about each component's smallest node. Only sums and numbers come to the driver.
     """
-    links = cut(links.select("u", "v"))
+    links = links.select("u", "v")
     tasks = max(1, -(-links.count() // links_per_task))
     now = cut(links.coalesce(tasks).mapInArrow(_forest, "u long, v long"))
     mark = None

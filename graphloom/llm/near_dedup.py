@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, gathered, hot_keys, join_salted, join_sized, whole_text
+from .common import cut, gathered, hot_keys, join_salted, join_sized, release, whole_text
 from .components import components
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -192,6 +192,7 @@ class Verifier:
         hot = hot_keys(pairs.groupBy("u").agg(F.count("*").alias("n")), "u", "n", pairs.count())
         marked = join_salted(pairs, lanes.select(F.col("node").alias("u"), F.col("lanes").alias("lu")), "u", hot, by).join(lanes.select(F.col("node").alias("v"), F.col("lanes").alias("lv")), "v")
         likely = gathered(marked.select("u", "v", "lu", "lv").mapInArrow(_likely(self.least), "u long, v long"), PAIRS)
+        release(pairs.sparkSession)
         first = likely.join(self.sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
         both = join_salted(first, self.sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u", hot, by)
         same = F.size(F.array_intersect("su", "sv"))
@@ -231,9 +232,12 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rest = both * (F.col("n") - F.col("i") + 1)
     low = F.ceil(F.lit(percent) * F.col("n") / 100)
     prefix = placed.withColumn("most", F.least("n", F.floor((rest - percent * F.col("n")) / percent))).withColumn("low", low).filter("most >= low")
+    release(nodes.sparkSession)
     prefix = gathered(prefix.select("s", "node", "n", "component", "i", "low", "most", (rest >= 2 * percent * F.col("n")).alias("first")), PAIRS)
+    release(nodes.sparkSession)
     mixed = prefix.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("s")
     prefix = gathered(prefix.join(mixed, "s", "left_semi"), PAIRS)
+    release(nodes.sparkSession)
     size_class = lambda n: F.floor(F.log(n) / F.log(F.lit(1.05)))
     x = prefix.filter("first").select("s", size_class(F.col("n")).alias("c"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("i").alias("ix"), F.col("component").alias("cx"))
     y = prefix.select("s", F.explode(F.sequence(size_class(F.col("low")), size_class(F.col("most")))).alias("c"), "node", "n", "component", "low", "most")
@@ -281,12 +285,15 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     buckets = exploded.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("inside")).filter("inside > 1")
     shared = gathered(join_sized(exploded.select("key", "node", "n"), gathered(buckets, PAIRS), "key", "inside", total * bands, F.col("node")).filter("least is not null"), PAIRS)
     lanes = gathered(nodes.select("node", "doc_id", "mark", "lanes").join(shared.select("node").distinct(), "node", "left_semi"), NODES)
+    release(docs.sparkSession)
     verify = Verifier(lanes.select("node", "doc_id", "mark"), lanes, src, words, percent, bands * rows)
     common = shared.filter("node <> least").groupBy(F.col("least").alias("u"), F.col("node").alias("v")).agg(F.count("*").alias("n"))
     best = common.groupBy("v").agg(F.max(F.struct(F.col("n"), (-F.col("u")).alias("u"))).alias("b"))
     tried = gathered(best.select((-F.col("b.u")).alias("u"), "v"), PAIRS)
+    release(docs.sparkSession)
     links = verify(tried)
     found = components(links)
+    release(docs.sparkSession)
 
     def still_apart() -> DataFrame:
         now = shared.select("key", "node", "n").join(found.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -304,16 +311,20 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
         if not new.isEmpty():
             found = joined_up(new)
         tried = tried.unionByName(more)
+        release(docs.sparkSession)
     open_ = still_apart()
     if not open_.isEmpty():
         more = gathered(prefix_pairs(open_.select("node", "n", "component").distinct(), verify.sets, percent).join(tried, ["u", "v"], "left_anti"), PAIRS)
+        release(docs.sparkSession)
         new = None if more.isEmpty() else verify(more)
         if new is not None and not new.isEmpty():
             found = joined_up(new)
 
     grouped = classes.join(found, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    release(docs.sparkSession)
     least = cut(grouped.groupBy("group").agg(F.min("first").alias("component_id"), F.count("*").alias("_in")))
     final = gathered(join_sized(grouped, least, "group", "_in", least.agg(F.coalesce(F.sum("_in"), F.lit(0))).first()[0], F.xxhash64("mark")).select("mark", "members", "group", "component_id"), NODES)
+    release(docs.sparkSession)
     out = join_sized(signed.filter("n_shingles > 0").select("doc_id", "text_key", "n_shingles", F.hex("mark").alias("mark")), final, "mark", "members", total, F.xxhash64("doc_id", "text_key"))
     alone = signed.filter("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group"))
     out = out.select("doc_id", "text_key", "n_shingles", "component_id", "group").unionByName(alone)

@@ -555,3 +555,12 @@ def test_training_gives_its_memory_back(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "bad word" if i % 2 else "good word") for i in range(20)], "doc_id long, text string")
     fit_toxicity(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")))
     assert calls == [1]
+
+
+def test_near_dedup_gives_memory_back_between_its_steps(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr("graphloom.llm.near_dedup.release", calls.append, raising=False)
+    a, b = (" ".join(f"{p}{i}" for i in range(60)) for p in "ab")
+    got = near_dedup(spark.createDataFrame([(1, a), (2, a + " tail"), (3, b)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3}
+    assert len(calls) > 4 and all(c is not None for c in calls)
