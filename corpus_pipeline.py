@@ -7,11 +7,13 @@ read again as the next stage's docs. All but the last keep the columns of docume
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import documents, fresh, labels, shared_folder, whole_text
+from graphloom.llm.common import documents, fresh, labels, release, shared_folder, whole_text
 from graphloom.llm.exact_dedup import exact_dedup, normalised
 from graphloom.llm.mixing import mix, mixed_documents
 from graphloom.llm.near_dedup import near_dedup
@@ -80,7 +82,18 @@ def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return pack(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("near-dedup", drop_near_copies), ("mixing", mix_to_weights), ("packing", pack_batches)]
+def _lean(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The stage, begun with the driver's memory that the stage before, written meanwhile, has left."""
+
+    @wraps(stage)
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begin
+
+
+STAGES = [("toxicity", _lean(drop_toxic)), ("exact dedup", _lean(drop_copies)), ("near-dedup", _lean(drop_near_copies)), ("mixing", _lean(mix_to_weights)), ("packing", _lean(pack_batches))]
 
 #: A trained network and seeded draws have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -8,7 +8,10 @@ import gc
 import math
 import re
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,13 +57,43 @@ def release(spark: SparkSession | None = None) -> None:
     """Gives memory that this process has freed back to the system, where the C library can; with ``spark``, the driver's JVM too.
 
     A loop of small plans fills the JVM's heap with plans and relations that nothing uses any more.
-    Checkpoints and broadcasts among them go with them.
+    Checkpoints and broadcasts among them go with them. Outside the heap, compiling their code
+    leaves freed memory with the C library's arenas, which the JVM's own trim gives back.
     """
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
     if spark is not None:
         spark.sparkContext._jvm.System.gc()
+        trim_native(spark)
+
+
+def trim_native(spark: SparkSession) -> str:
+    """Has the driver's JVM give freed native memory back, and returns what it says; empty where the JVM has no such command."""
+    gateway = spark.sparkContext._gateway
+    jvm = gateway.jvm
+    with contextlib.suppress(Py4JError):
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        # the server's own class is closed to reflection, its interface is not
+        kind = jvm.java.lang.Class.forName
+        types = gateway.new_array(jvm.java.lang.Class, 4)
+        types[0], types[1], types[2], types[3] = kind("javax.management.ObjectName"), kind("java.lang.String"), kind("[Ljava.lang.Object;"), kind("[Ljava.lang.String;")
+        args = gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = name, "systemTrimNativeHeap"
+        return str(kind("javax.management.MBeanServer").getMethod("invoke", types).invoke(server, args))
+    return ""
+
+
+def lean(make: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow whose Python worker gives back what its task has freed, as workers stay beside the tasks that follow."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from make(batches)
+        release()
+
+    return run
 
 
 def gathered(df: DataFrame, rows: int) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, join_sized, partitions_for, shared_folder, whole_text
+from .common import SPACE, cut, join_sized, lean, partitions_for, shared_folder, whole_text
 
 
 def normalised(col: str = "text") -> Column:
@@ -159,10 +159,10 @@ def build_index(docs: DataFrame, keyed: DataFrame, bucket_bytes: int = 8 << 20,
     slot = F.shiftrightunsigned("key", 64 - made.depth).cast("int") if made.depth else F.lit(0)
     entries = docs.select("doc_id", normalised().alias("text")).select("doc_id", F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("text"))
     entries = entries.withColumn("slot", slot).join(F.broadcast(table), "slot").select("bucket", "key", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    entries = entries.mapInArrow(_combine, "bucket int, key long, doc_id long, n long, text binary")
+    entries = entries.mapInArrow(lean(_combine), "bucket int, key long, doc_id long, n long, text binary")
     owners = partitions_for(spark, total, 64 << 20)
     dealt = entries.repartition(owners, "bucket").sortWithinPartitions("bucket", "key")
-    dealt.mapInArrow(_own, "bucket int, key long, chain int, text_sha256 string, keep_id long, group_size long").write.parquet(f"{folder}/entries")
+    dealt.mapInArrow(lean(_own), "bucket int, key long, chain int, text_sha256 string, keep_id long, group_size long").write.parquet(f"{folder}/entries")
     return Index(folder)
 
 

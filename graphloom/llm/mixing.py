@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, join_sized, running_offset, whole_text, word_count
+from .common import WORD, cut, join_sized, release, running_offset, whole_text, word_count
 
 #: Cyclic weights of the sources in code-point order, null last.
 WEIGHTS = (3, 1, 2)
@@ -122,6 +122,7 @@ def mix(docs: DataFrame, shards: int = 64, block_words: int = 64, seed: int = 5)
     sized = docs.select("doc_id", "source", key.alias("_key"), word_count(whole_text()).alias("size"), F.xxhash64(whole_text()).alias("text_key"))
     sized = cut(sized)
     totals = [(r[0], int(r[1]), r[2]) for r in sized.groupBy("source").agg(F.sum("size"), F.count("*")).collect()]
+    release(spark)
     rows = sum(n for _, _, n in totals)
     want = targets([(s, w) for s, w, _ in totals])
     order = sorted(totals, key=lambda x: (x[0] is None, x[0] or ""))
@@ -136,6 +137,7 @@ def mix(docs: DataFrame, shards: int = 64, block_words: int = 64, seed: int = 5)
     placed = sized.join(F.broadcast(dim), "_key") if len(table) <= FEW_SOURCES else join_sized(sized, dim, "_key", "_rows", rows, F.xxhash64("doc_id", "text_key"))
     placed = running_offset(placed.drop("_key", "_rows"), ["sid"], [F.col("doc_id"), F.col("text_key")], F.col("size"), "at", rows, seed)
     placed = cut(placed)
+    release(spark)
 
     first, last = F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words)
     some = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
@@ -150,6 +152,7 @@ def mix(docs: DataFrame, shards: int = 64, block_words: int = 64, seed: int = 5)
     drawn = throws.groupBy("sid", "blocks", "_a", "_b", shard.alias("shard")).agg(F.count("*").alias("n"))
     before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = cut(drawn.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long")))  # shards x sources rows
+    release(spark)
 
     slot = _each(counts, F.col("n"), F.col("start"), "k", all_slots).withColumn("turn", F.floor(F.col("k") / F.col("blocks")).cast("int"))
     slot = permuted(slot, F.col("k") % F.col("blocks"), "blocks", "_a", "_b", [F.col("sid"), F.col("turn")], "block", seed)

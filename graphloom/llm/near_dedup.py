@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, gathered, hot_keys, join_salted, join_sized, release, whole_text
+from .common import cut, gathered, hot_keys, join_salted, join_sized, lean, release, whole_text
 from .components import components
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -175,7 +175,7 @@ class Verifier:
         """``nodes`` has node, doc_id and mark: the document that stands for it and its set's digest."""
         some = F.broadcast if nodes.count() <= FEW_NODES else lambda d: d
         texts = docs.join(some(nodes.select("doc_id").distinct()), "doc_id", "left_semi")
-        sets = texts.select("doc_id", "text").mapInArrow(_setter(words), "doc_id long, mark string, shingles array<long>")
+        sets = texts.select("doc_id", "text").mapInArrow(lean(_setter(words)), "doc_id long, mark string, shingles array<long>")
         self.sets = cut(sets.join(some(nodes), ["doc_id", "mark"]).select("node", "shingles").dropDuplicates(["node"]))
         self.lanes, self.percent = lanes, percent
         # five and a half standard deviations below the threshold: a linked pair falls out once in 10**7
@@ -191,7 +191,7 @@ class Verifier:
         by = F.xxhash64("v")
         hot = hot_keys(pairs.groupBy("u").agg(F.count("*").alias("n")), "u", "n", pairs.count())
         marked = join_salted(pairs, lanes.select(F.col("node").alias("u"), F.col("lanes").alias("lu")), "u", hot, by).join(lanes.select(F.col("node").alias("v"), F.col("lanes").alias("lv")), "v")
-        likely = gathered(marked.select("u", "v", "lu", "lv").mapInArrow(_likely(self.least), "u long, v long"), PAIRS)
+        likely = gathered(marked.select("u", "v", "lu", "lv").mapInArrow(lean(_likely(self.least)), "u long, v long"), PAIRS)
         release(pairs.sparkSession)
         first = likely.join(self.sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
         both = join_salted(first, self.sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u", hot, by)
@@ -270,7 +270,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     empty result; other columns take no part.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().cast("binary").alias("text"), F.xxhash64(whole_text()).alias("text_key"))
-    signed = cut(src.mapInArrow(_signer(words, bands, rows), "doc_id long, text_key long, n_shingles long, mark binary, bands array<long>, lanes binary"))
+    signed = cut(src.mapInArrow(lean(_signer(words, bands, rows)), "doc_id long, text_key long, n_shingles long, mark binary, bands array<long>, lanes binary"))
     some = signed.filter("n_shingles > 0").select("doc_id", "n_shingles", F.hex("mark").alias("mark"), "bands", "lanes")
     classes = gathered(some.groupBy("mark").agg(F.min("doc_id").alias("first"), F.count("*").alias("members")), NODES)
     total = classes.agg(F.sum("members")).first()[0] or 0

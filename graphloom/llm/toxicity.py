@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out_third, release, whole_text
+from .common import held_out_third, lean, release, whole_text
 
 WINDOW, STRIDE = 64, 48
 PIECE = 24  # bytes of a token; longer words are several tokens
@@ -387,7 +387,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1000, seed
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([excerpt(t, seed) for t in b.column(2).to_pylist()], pa.string())], names=["doc_id", "y", "text"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).join(F.broadcast(ids), "doc_id")
-    rows = found.select("doc_id", "y", "text").mapInArrow(cut_down, "doc_id long, y int, text string").distinct().collect()
+    rows = found.select("doc_id", "y", "text").mapInArrow(lean(cut_down), "doc_id long, y int, text string").distinct().collect()
     rows.sort(key=lambda r: (r.doc_id, r.y, r.text))
     net = train([r.text for r in rows], np.array([r.y for r in rows], int))
     # the driver's Python would keep what training freed beside the stages that follow
@@ -413,7 +413,7 @@ def score_toxicity(docs: DataFrame, net: Network, out: str = "score") -> DataFra
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, out])
 
     fields = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
-    return docs.mapInArrow(judge, fields)
+    return docs.mapInArrow(lean(judge), fields)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -564,3 +564,35 @@ def test_near_dedup_gives_memory_back_between_its_steps(spark, monkeypatch):
     got = near_dedup(spark.createDataFrame([(1, a), (2, a + " tail"), (3, b)], "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3}
     assert len(calls) > 4 and all(c is not None for c in calls)
+
+
+def test_mixing_and_stages_give_memory_back(spark, docs, monkeypatch):
+    import corpus_pipeline as P
+
+    calls = []
+    monkeypatch.setattr("graphloom.llm.mixing.release", calls.append, raising=False)
+    assert mix(docs, block_words=4).slots.count() and len(calls) > 2 and all(c is not None for c in calls)
+    monkeypatch.setattr(P, "release", lambda s: calls.append("stage"), raising=False)
+    assert P.STAGES[3][1](spark, docs.withColumn("n_chars", F.length("text")), "").count()
+    assert "stage" in calls
+
+
+def test_release_trims_the_native_memory_of_the_jvm(spark, monkeypatch):
+    from graphloom.llm import common
+
+    assert common.trim_native(spark).startswith("Trim native heap")  # on glibc
+    calls = []
+    monkeypatch.setattr(common, "trim_native", calls.append)
+    common.release(spark)
+    common.release()
+    assert calls == [spark]
+
+
+def test_python_workers_give_memory_back_after_a_task(monkeypatch):
+    from graphloom.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "release", lambda: calls.append(1))
+    made = common.lean(lambda batches: (b + 1 for b in batches))(iter([1, 2]))
+    assert next(made) == 2 and not calls
+    assert list(made) == [3] and calls == [1]
