@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom import catalog, catalog_reports
+from graphloom import catalog, catalog_reports, project
 from graphloom.operators import analytics as A
 from graphloom.operators import traversal as T
 from graphloom.project import open_graph
@@ -173,6 +173,47 @@ def test_renames_of_one_signature_are_paired_by_many_tasks(spark):
     assert max(tasks) < 30_000
 
 
+def _unsigned(spark, *sizes):
+    return (spark.range(n).selectExpr(f"concat('{p}', id) as qualified_name", "'function' as kind", "cast(null as string) as signature", f"concat('p', id % 3) as path", "id as start_line") for p, n in zip(("old", "new"), sizes))
+
+
+def test_renames_shuffle_no_more_than_the_nodes_ask_for(spark):
+    """18 million pairs of 9,000 nodes: what is shuffled grows with the nodes, not with their pairs."""
+    found = A.renames(*_unsigned(spark, 6000, 3000)).groupBy().agg(F.count("*"))
+    want = 3000 * 6000
+    got = found.collect()[0][0]
+
+    def records(p):
+        below = p.executedPlan() if p.nodeName() == "AdaptiveSparkPlan" else p.plan() if "QueryStage" in p.nodeName() else None
+        inner = [below] if below else [p.children().apply(i) for i in range(p.children().size())]
+        return (p.metrics().apply("shuffleRecordsWritten").value() if p.nodeName() == "Exchange" else 0) + sum(map(records, inner))
+
+    same = 2000 * 3000  # the pairs of one file, of which few are near enough
+    assert want - same < got <= want
+    assert records(found._jdf.queryExecution().executedPlan()) < 60_000
+
+
+def test_renames_in_a_grid_of_many_cells_are_all_pairs(spark, monkeypatch):
+    for name, n in (("SHARE", 16), ("LEAST", 4), ("BLOCK", 4)):
+        monkeypatch.setattr(A, name, n)
+    gone, come = (d.withColumn("signature", F.when(F.col("start_line") % 4 > 0, F.concat(F.lit("abcdefghij"), (F.col("start_line") % 2).cast("string")))) for d in _unsigned(spark, 150, 100))
+    o, n = (d.select(*[F.col(c).alias(f"{p}_{c}") for c in d.columns]) for d, p in ((gone, "o"), (come, "n")))
+    score = A.rename_score(F.col("o_signature"), F.col("n_signature"), F.col("o_path"), F.col("n_path"), F.abs(F.col("o_start_line") - F.col("n_start_line")))
+    want = o.crossJoin(n).filter("(o_signature is null) = (n_signature is null)").withColumn("s", score).filter("s >= 0.9").selectExpr("o_qualified_name", "n_qualified_name", "round(s, 6)")
+    assert want.select("round(s, 6)").distinct().count() > 3
+    assert sorted(map(tuple, A.renames(gone, come).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_nodes_are_saved_without_edges_for_a_query_of_nodes(spark, tmp_path):
+    for name in project.TABLES:
+        (tmp_path / f"{name}.parquet").symlink_to(f"/root/testdata/sf0.001/{name}.parquet")
+    alone = project.load(spark, str(tmp_path), edges=False)
+    assert alone.edges is None and project.load(spark, str(tmp_path), edges=False) is alone
+    whole = project.load(spark, str(tmp_path))
+    assert whole.edges.count() == project.projected(spark, str(tmp_path)).edges.count()
+    assert whole.nodes.count() == alone.nodes.count() == project.projected(spark, str(tmp_path)).nodes.count()
+
+
 def test_condensation_leaves_out_calls_of_no_node(spark):
     """As its SQL: a call whose target is in no table is no edge between components."""
     nodes = spark.createDataFrame([(i, "function") for i in (1, 2, 3, 3)], "id long, kind string")
